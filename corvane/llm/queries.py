@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.instants import instant
 from corvane.llm.bpe import token_counts, token_ids
+from corvane.llm.consensus import Consensus, clean_label, consensus, krippendorff_alpha
 from corvane.llm.packing import fill_report, pack
 from corvane.llm.splitting import split_oversized
 from corvane.llm.topn import top_n
@@ -49,9 +50,55 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "documents"), LIMIT, OVERLAP)
 
 
+LABELS = ("supported", "partial", "no_evidence", "needs_verification")
+ITEM = ("candidate_id", "criterion_id")
+
+
+def _people(spark: SparkSession, d: str) -> DataFrame:
+    """Single people's labels: item, annotator, label."""
+    packets = table(spark, d, "annotation_packets")
+    return packets.select(*ITEM, "reviewer_role", "annotator", clean_label(F.col("reviewer_label"), LABELS).alias("label")).dropna().distinct()
+
+
+def _votes(spark: SparkSession, d: str) -> DataFrame:
+    """All votes: people, adjudicators and the matcher each by their own name; the role columns of
+    ``annotations`` repeat a person's label and count only where no label of that role is known."""
+    people = _people(spark, d)
+    rows = table(spark, d, "annotations")
+    matched = F.create_map(*[F.lit(x) for x in ("matched", "supported", "partial", "partial", "unknown", "no_evidence", "needs_verification", "needs_verification")])
+    out = people.select(*ITEM, "annotator", "label")
+    out = out.unionByName(rows.select(*ITEM, F.lit("@adjudicator").alias("annotator"), clean_label(F.col("adjudicated_label"), LABELS).alias("label")))
+    out = out.unionByName(rows.select(*ITEM, F.lit("@matcher").alias("annotator"), matched[F.lower(F.trim("model_result"))].alias("label")))
+    for role in ("recruiter", "hiring_manager"):
+        single = rows.select(*ITEM, F.lit(f"@{role}").alias("annotator"), clean_label(F.col(f"{role}_label"), LABELS).alias("label"))
+        out = out.unionByName(single.join(people.where(F.col("reviewer_role") == role).select(*ITEM), list(ITEM), "left_anti"))
+    return out
+
+
+def _consensus(spark: SparkSession, d: str) -> Consensus:
+    return consensus(_votes(spark, d), LABELS, ITEM, items=table(spark, d, "annotations"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _consensus(spark, d).items.select(*ITEM, "label")
+
+
+def p3_annotators(spark: SparkSession, d: str) -> DataFrame:
+    """Reliability of every annotator with its interval and confusion rows."""
+    return _consensus(spark, d).annotators
+
+
+def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Krippendorff's alpha of the people's labels."""
+    return krippendorff_alpha(_people(spark, d), ITEM).select(F.round("alpha", 9).alias("alpha"), "n_items", "n_votes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_top50": p2_top50,
+    "p3_found": p3_found,
+    "p3_annotators": p3_annotators,
+    "p3_agreement": p3_agreement,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
@@ -68,4 +115,11 @@ p AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, t AS
 ORACLES: dict[str, str] = {
     "p2_found": _RANKED + 'SELECT job_id, id candidate_id FROM p WHERE "position" <= 5',
     "p2_top50": _RANKED + 'SELECT job_id, id candidate_id, score, CAST("position" AS INT) "position" FROM p WHERE "position" <= 50',
+    "p3_agreement": r"""
+WITH v AS (SELECT DISTINCT candidate_id, criterion_id, reviewer_role, annotator, regexp_replace(lower(trim(reviewer_label)), '[ _-]+', '_', 'g') l FROM annotation_packets),
+c AS (SELECT candidate_id, criterion_id, l, count(*) n FROM v WHERE l IN ('supported', 'partial', 'no_evidence', 'needs_verification') GROUP BY ALL),
+u AS (SELECT candidate_id, criterion_id, sum(n) m, sum(n * n) sq FROM c GROUP BY ALL HAVING sum(n) > 1),
+t AS (SELECT sum((m * m - sq) / (m - 1)) o, sum(m) n, count(*) k FROM u),
+e AS (SELECT sum(x * x) s FROM (SELECT l, sum(n) x FROM c SEMI JOIN u USING (candidate_id, criterion_id) GROUP BY l))
+SELECT round(1 - (n - 1) * o / (n * n - s), 9) alpha, k n_items, CAST(n AS BIGINT) n_votes FROM t, e""",
 }
