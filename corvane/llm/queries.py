@@ -7,18 +7,52 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions.instants import instant
+from corvane.functions.instants import instant, key_text
 from corvane.llm.bpe import token_counts, token_ids
 from corvane.llm.consensus import Consensus, clean_label, consensus, krippendorff_alpha
+from corvane.llm.languages import Model, identify, language_tag, train
 from corvane.llm.packing import fill_report, pack
 from corvane.llm.splitting import split_oversized
 from corvane.llm.topn import top_n
-from corvane.session import table
+from corvane.session import cut, table
 
 CAPACITY = 2048  # tokens a container holds
 LIMIT, OVERLAP = 512, 64  # tokens of a piece, tokens shared with the one before
 
 
+def _model(spark: SparkSession, d: str) -> Model:
+    return train(table(spark, d, "documents"), "text", "lang", "doc_id")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    model = _model(spark, d)
+    docs = identify(table(spark, d, "documents").withColumn("tag", language_tag(F.col("lang"))), model, "text", ["doc_id", "tag"])
+    several = F.size("languages") > 1
+    wrong = F.col("tag").isNull() | (F.col("tag") != F.get("languages", F.lit(0))["lang"])
+    held = F.explode("languages").alias("x")
+    cases = docs.where((F.size("languages") > 0) & (several | wrong)).select(F.lit("documents").alias("src_table"), F.col("doc_id").cast("string").alias("row_id"), held)
+
+    # one pass over the snippets serves both the mixed ones and the language of each CV
+    snippets = cut(identify(table(spark, d, "evidence"), model, "snippet", ["id", "candidate_id"]))
+    mixed = snippets.where(several).select(F.lit("evidence").alias("src_table"), F.col("id").alias("row_id"), held)
+    weight = snippets.select(key_text(F.col("candidate_id")).alias("key"), held).groupBy("key", F.col("x.lang").alias("lang")).agg(F.sum("x.chars").alias("chars"))
+    main = weight.groupBy("key").agg(F.max_by("lang", F.struct("chars", "lang")).alias("lang"))
+    rows = table(spark, d, "annotations").select(key_text(F.col("candidate_id")).alias("key"), "candidate_id", "criterion_id", language_tag(F.col("cv_language")).alias("tag")).distinct()
+    labels = rows.join(main, "key").where(F.col("tag").isNull() | (F.col("tag") != F.col("lang")))
+    out = cases.unionByName(mixed).select("src_table", "row_id", F.col("x.lang").alias("lang"))
+    return out.unionByName(labels.select(F.lit("annotations").alias("src_table"), F.concat_ws(":", "candidate_id", "criterion_id").alias("row_id"), "lang")).distinct()
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its languages: one row per segment, with the document's language and confidence."""
+    docs = identify(table(spark, d, "documents"), _model(spark, d), "text", ["doc_id"], segments=True)
+    first = F.get("languages", F.lit(0))
+    rows = docs.select("doc_id", first["lang"].alias("lang"), first["confidence"].alias("confidence"), F.posexplode_outer("segments").alias("segment", "s"))
+    return rows.select(
+        "doc_id", "lang", "confidence", "segment", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.lang").alias("segment_lang"), F.col("s.confidence").alias("segment_confidence")
+    )
+
+
 def _top(spark: SparkSession, d: str, n: int) -> DataFrame:
     rows = table(spark, d, "candidates").select("job_id", "score", instant(F.col("created_at")).alias("at"), "id")
     return top_n(rows, "job_id", "score", "at", "id", n)
@@ -94,6 +128,8 @@ def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_segments": p1_segments,
     "p2_found": p2_found,
     "p2_top50": p2_top50,
     "p3_found": p3_found,

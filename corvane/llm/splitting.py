@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from corvane.llm.bpe import _SPACES, ByteBPE, bpe, count_array, vocabulary_path
 
 _WORD = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
-_LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
+_LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _STOP = tuple(".!?…。！？")
 _CLOSING = "\"'”’»)]"
 # Strength of a boundary.
