@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from corvane.llm.bpe import token_counts, token_ids
 from corvane.llm.consensus import Consensus, clean_label, consensus, krippendorff_alpha
 from corvane.llm.languages import Model, identify, language_tag, train
 from corvane.llm.packing import fill_report, pack
+from corvane.llm.personal import find, learn, redacted
 from corvane.llm.splitting import split_oversized
 from corvane.llm.topn import top_n
 from corvane.session import cut, table
@@ -67,6 +69,28 @@ def p2_top50(spark: SparkSession, d: str) -> DataFrame:
     return _top(spark, d, 50).select("job_id", F.col("id").alias("candidate_id"), "score", "position")
 
 
+NOTES = (("evidence", "snippet"), ("reviews", "note"), ("interview_scorecards", "notes"), ("interview_criterion_scores", "evidence_notes"))
+
+
+def _notes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The texts of the four fields (src_table, row_id, text), and what they teach with the reviewers as known people."""
+    parts = [table(spark, d, t).select(F.lit(t).alias("src_table"), F.col("id").alias("row_id"), F.col(c).alias("text")) for t, c in NOTES]
+    texts = reduce(DataFrame.unionByName, parts)
+    people = table(spark, d, "reviews").select("reviewer").unionByName(table(spark, d, "interview_scorecards").select("reviewer")).distinct()
+    return texts, cut(learn(texts, "text", people))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    texts, learned = _notes(spark, d)
+    return find(texts, "text", ["src_table", "row_id"], learned).distinct()
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The four fields with typed placeholders."""
+    texts, learned = _notes(spark, d)
+    return redacted(texts, "text", learned)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"))
 
@@ -135,6 +159,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_annotators": p3_annotators,
     "p3_agreement": p3_agreement,
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
