@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans import records
+from corvane.plans import analytics, records
 
-QUERIES = {**records.QUERIES}
-ORACLES = {**records.ORACLES}
+QUERIES = {**analytics.QUERIES, **records.QUERIES}
+ORACLES = {**analytics.ORACLES, **records.ORACLES}
