@@ -544,7 +544,7 @@ def audit_daily(spark: SparkSession, d: str) -> DataFrame:
     return a.groupBy("event_type", F.date_format("at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("rolling_limit", "SELECT event_id, n_window, n_window <= 6 within FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) n_window FROM events)")
+@query("rolling_limit", "SELECT event_id, n_window, n_window <= 6 AS \"within\" FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) n_window FROM events)")
 def rolling_limit(spark: SparkSession, d: str) -> DataFrame:
     """Events of each user in the hour up to each event, and whether that is within the limit."""
     return A.rolling_limit(table(spark, d, "events"), "user_id", "ts", 3600, 6).select("event_id", "n_window", "within")
