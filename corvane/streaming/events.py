@@ -39,13 +39,10 @@ def request_counts(log: DataFrame) -> DataFrame:
 def admit(events: DataFrame, key: str, at: str, seconds: int = 60, most: int = 6) -> DataFrame:
     """Exact rolling limit per key: an event is admitted if fewer than ``most`` admitted ones lie in the ``seconds`` before it.
 
-    The state of a key is the times of at most ``most`` admitted events; it is dropped when idle for the window.
+    The state of a key is the times of at most ``most`` admitted events; it is kept for every key seen. A null key is the text None.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values("at", kind="stable")
         ok = []
@@ -55,11 +52,10 @@ def admit(events: DataFrame, key: str, at: str, seconds: int = 60, most: int = 6
             if ok[-1]:
                 times.append(t)
         state.update((times,))
-        state.setTimeoutDuration(seconds * 1000)
         yield pd.DataFrame({"key": [str(k[0])] * len(rows), "at": rows["at"].to_numpy(), "admitted": ok})
 
     secs = events.select(F.col(key).cast("string").alias("key"), F.unix_seconds(F.col(at).cast("timestamp")).alias("at"))
-    return secs.groupBy("key").applyInPandasWithState(step, "key string, at bigint, admitted boolean", "times array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return secs.groupBy("key").applyInPandasWithState(step, "key string, at bigint, admitted boolean", "times array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
 def keep_current(target: str, key: str, order: list[str]) -> Callable[[DataFrame, int], None]:
