@@ -43,17 +43,18 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pack(sizes: DataFrame, capacity: int, ident: str = "doc_id", size: str = "n_tokens", group_items: int = 20_000) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, ident: str = "doc_id", size: str = "n_tokens", group_items: int = 20_000, items: int | None = None) -> DataFrame:
     """Containers of ``capacity``: container, ``ident``, part, from_token, n_tokens.
 
     ``sizes`` has one row per item (repeated rows are items of their own). An item above the capacity
     is cut into parts that fill containers of their own and a last part that is packed like an item;
     no other is cut. A null or negative size counts as 0, and items of size 0 share containers with others.
+    ``items`` is the number of rows if it is known, which spares a pass over ``sizes``.
     ``group_items`` bounds the items one task packs; ``container`` is unique over all groups.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    groups = max(1, math.ceil(sizes.count() / group_items))
+    groups = max(1, math.ceil((sizes.count() if items is None else items) / group_items))
     n = F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0))
     rows = sizes.select(
         F.col(ident),

@@ -96,7 +96,8 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    return pack(token_counts(table(spark, d, "documents")), CAPACITY)
+    docs = table(spark, d, "documents")
+    return pack(token_counts(docs), CAPACITY, items=docs.count())
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
