@@ -14,7 +14,7 @@ at the path of the string, as often as they are encoded.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -293,12 +293,13 @@ def flatten_json(df: DataFrame, json_column: str, id_column: str = "id", attribu
     return rows.where(F.col("text").contains("[") | F.col("text").contains("\\u005")).mapInArrow(run, SCHEMA)
 
 
-def child_table(nodes: DataFrame, kind: str, columns: dict[str, str]) -> DataFrame:
+def child_table(nodes: DataFrame, kind: str | Sequence[str], columns: dict[str, str]) -> DataFrame:
     """The flat table of one kind of child: row_id, node_path, parent_path, position and typed ``columns``.
 
-    A member that is absent, null or of another type is null.
+    Several kinds make one table where a column comes in several shapes. A member that is absent, null or of
+    another type is null.
     """
-    return nodes.where(F.col("kind") == kind).select(
+    return nodes.where(F.col("kind").isin(*([kind] if isinstance(kind, str) else kind))).select(
         "row_id",
         "node_path",
         "parent_path",

@@ -349,8 +349,9 @@ u AS (SELECT *, CASE WHEN total > 0 THEN r / total ELSE 0 END required_share, CA
 SELECT job_id, n, total, required_share, largest_share, CASE WHEN n = 0 OR total <= 0 THEN 'empty' WHEN largest_share > 0.40 THEN 'unbalanced' WHEN np = 0 OR required_share >= 0.90 THEN 'too_strict' WHEN r < total - r THEN 'too_loose' WHEN n < 3 THEN 'too_few' WHEN n > 8 THEN 'too_many' ELSE 'well_calibrated' END verdict FROM u""")
 def criteria_calibration(spark: SparkSession, d: str) -> DataFrame:
     from corvane.operators.nested import child_table, flatten_json
+    from corvane.plans.records import CRITERIA
 
-    nodes = child_table(flatten_json(table(spark, d, "jobs"), "criteria_json"), "$[]", {"label": "string", "type": "string", "weight": "double"}).distinct()
+    nodes = child_table(flatten_json(table(spark, d, "jobs"), "criteria_json"), CRITERIA, {"label": "string", "type": "string", "weight": "double"}).distinct()
     return A.calibration(nodes.withColumnRenamed("row_id", "job_id"))
 
 

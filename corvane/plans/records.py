@@ -12,6 +12,7 @@ from corvane.operators.nested import child_table, flatten_json
 from corvane.operators.references import Reference, broken_references, orphan_report
 from corvane.session import table
 
+CRITERIA = ("$[]", "$.criteria[]")  # criteria_json is the list itself, or an object that holds it
 JSON_COLUMNS = (("candidates", "profile_json"), ("jobs", "criteria_json"), ("audit_events", "details_json"))
 
 
@@ -47,7 +48,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_criteria(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of the criteria of the jobs: one row per criterion, pointing to its job."""
     nodes = flatten_json(table(spark, d, "jobs"), "criteria_json")
-    return child_table(nodes, "$[]", {"id": "string", "label": "string", "type": "string", "weight": "double"}).distinct()
+    return child_table(nodes, CRITERIA, {"id": "string", "label": "string", "type": "string", "weight": "double"}).distinct()
 
 
 def p6_nodes(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from corvane.operators.nested import child_table, flatten_batch, flatten_json
+from corvane.plans import analytics, records
 
 
 def _strict(text):
@@ -114,3 +115,12 @@ def test_tables(spark):
 def test_attributes(text):
     t = flatten_batch(pa.array(["1"]), pa.array([text]))
     assert dict(t["attributes"].to_pylist()[0]) == {"a": "2", "b": None}
+
+
+def test_criteria_in_either_shape(spark, tmp_path):
+    one = '[{"id":"c1","label":"a","type":"required","weight":2.0,"alternatives":[{"label":"x"}]}]'
+    rows = [("j1", one), ("j2", '{"version":"v2","criteria":' + one + "}"), ("j3", json.dumps('{"criteria":' + one + "}")), ("j4", '{"other":' + one + "}")]
+    spark.createDataFrame(rows, "id string, criteria_json string").write.parquet(f"{tmp_path}/jobs.parquet")
+    got = {(r.row_id, r.node_path, r.position, r.id, r.weight) for r in records.p6_criteria(spark, str(tmp_path)).collect()}
+    assert got == {("j1", "$[0]", 0, "c1", 2.0), ("j2", "$.criteria[0]", 0, "c1", 2.0), ("j3", "$.criteria[0]", 0, "c1", 2.0)}
+    assert {r.job_id for r in analytics.criteria_calibration(spark, str(tmp_path)).collect()} == {"j1", "j2", "j3"}
