@@ -185,13 +185,18 @@ def structure(texts: pa.Array) -> dict[str, np.ndarray]:
     return {"data": data, "ok": ok, "doc": doc, "type": typ, "start": pos, "end": end, "level": level, "parent": parent, "place": place, "value": value}
 
 
-def flatten_batch(ids: pa.Array, texts: pa.Array, attributes: bool = True) -> pa.Table:
-    """Rows of ``SCHEMA`` for every object that is an element of an array, at any depth."""
+def flatten_batch(ids: pa.Array, texts: pa.Array, attributes: bool = True, every: bool = False) -> pa.Table:
+    """Rows of ``SCHEMA`` for every object that is an element of an array, at any depth; with ``every`` see ``flatten_json``."""
     row = np.arange(len(texts))
     path = pa.array(["$"] * len(texts), pa.large_string())
-    node = pa.nulls(len(texts), pa.large_string())  # nearest object element above
+    node = pa.nulls(len(texts), pa.large_string())  # nearest object with a row above
     elem = np.full(len(texts), -1)
+    origin = np.full(len(texts), -1)  # of a decoded string its number among the plain values; it is none if it holds an object or array
+    plain_rows: list[pa.Table] = []
+    n_plain = 0
+    opened: list[np.ndarray] = []
     out: list[pa.Table] = []
+    n_rounds = 0
     while len(texts):
         s = structure(texts)
         typ, parent, place = s["type"], s["parent"], s["place"]
@@ -205,6 +210,8 @@ def flatten_batch(ids: pa.Array, texts: pa.Array, attributes: bool = True) -> pa
         first_byte[text_at] = data[s["start"][text_at] + 1]
         coded = np.isin(first_byte, np.frombuffer(b'{[\\ \t\n\r', np.uint8)) & (typ == STR)
         want = ok & s["value"] & ((typ == OBJ) | (typ == ARR) | coded)
+        plain = np.flatnonzero(((typ == STR) | (typ == SCALAR)) & (in_arr | ((level == 0) & s["value"] & ok & (not n_rounds)))) if every else np.zeros(0, np.int64)
+        want[plain] = True
         paths = np.empty(m, object)
         above = np.empty(m, object)
         base_path, base_node = np.asarray(path.to_pylist(), object), np.asarray(node.to_pylist(), object)
@@ -225,9 +232,9 @@ def flatten_batch(ids: pa.Array, texts: pa.Array, attributes: bool = True) -> pa
             tail[arr] = np.char.add(np.char.add("[", place[here][arr].astype(str)), "]").astype(object)
             tail[~arr] = "." + keys[here[~arr]]
             paths[here] = paths[up] + tail
-            is_node = (typ[up] == OBJ) & (place_of[up] >= 0)
+            is_node = (typ[up] == OBJ) & (every | (place_of[up] >= 0))
             above[here] = np.where(is_node, paths[up], above[up])
-        hits = tokens[(typ[tokens] == OBJ) & (place_of[tokens] >= 0)]
+        hits = tokens[(typ[tokens] == OBJ) & (every | (place_of[tokens] >= 0))]
         if len(hits):
             found = pa.array(paths[hits], pa.large_string())
             cols = {
@@ -235,22 +242,55 @@ def flatten_batch(ids: pa.Array, texts: pa.Array, attributes: bool = True) -> pa
                 "node_path": found.cast(pa.string()),
                 "kind": pc.replace_substring_regex(found, r"\[[0-9]+\]", "[]").cast(pa.string()),
                 "parent_path": pa.array(above[hits], pa.string()),
-                "position": pa.array(place_of[hits], pa.int32()),
+                "position": pc.if_else(pa.array(place_of[hits] >= 0), pa.array(place_of[hits], pa.int32()), None),
                 "attributes": _attributes(s, hits, in_obj) if attributes else pa.nulls(len(hits), pa.map_(pa.string(), pa.string())),
             }
-            out.append(pa.table(cols))
+            out.append(pa.table(cols | {"value": pa.nulls(len(hits), pa.string())} if every else cols))
+        number = np.full(m, -1)
+        if every:
+            roots = tokens[level[tokens] == 0]
+            number[roots] = origin[doc[roots]]
+            opened.append(number[roots[typ[roots] < OBJ_END]])
+            number[plain] = n_plain + np.arange(len(plain))
+            n_plain += len(plain)
+        if len(plain):
+            found = pa.array(paths[plain], pa.large_string())
+            cols = {
+                "row_id": ids.take(pa.array(row[doc[plain]])).cast(pa.string()),
+                "node_path": found.cast(pa.string()),
+                "kind": pc.replace_substring_regex(found, r"\[[0-9]+\]", "[]").cast(pa.string()),
+                "parent_path": pa.array(above[plain], pa.string()),
+                "position": pc.if_else(pa.array(place_of[plain] >= 0), pa.array(place_of[plain], pa.int32()), None),
+                "attributes": pa.nulls(len(plain), pa.map_(pa.string(), pa.string())),
+                "value": _values(s, plain).cast(pa.string()),
+            }
+            plain_rows.append(pa.table(cols))
+        n_rounds += 1
         deeper = tokens[coded[tokens]]
         if not len(deeper):
             break
         texts = _decode(_spans(data, s["start"][deeper] + 1, s["end"][deeper] - 1))
         path, node = pa.array(paths[deeper], pa.large_string()), pa.array(above[deeper], pa.large_string())
-        row, elem = row[doc[deeper]], place_of[deeper]
-    return pa.concat_tables(out) if out else pa.table({f: pa.array([], t) for f, t in _ARROW})
+        row, elem, origin = row[doc[deeper]], place_of[deeper], number[deeper]
+    if n_plain:
+        shut = np.ones(n_plain, bool)
+        gone = np.concatenate(opened)
+        shut[gone[gone >= 0]] = False
+        out.append(pa.concat_tables(plain_rows).filter(pa.array(shut)))
+    return pa.concat_tables(out) if out else pa.table({f: pa.array([], t) for f, t in [*_ARROW, *[("value", pa.string())] * every]})
 
 
 _ARROW = [("row_id", pa.string()), ("node_path", pa.string()), ("kind", pa.string()), ("parent_path", pa.string()), ("position", pa.int32()), ("attributes", pa.map_(pa.string(), pa.string()))]
 
 
+def _values(s: dict[str, np.ndarray], leaf: np.ndarray) -> pa.Array:
+    """The strings and scalars ``leaf`` as text; a JSON null is null."""
+    string = s["type"][leaf] == STR
+    raw = _spans(s["data"], s["start"][leaf] + string, s["end"][leaf] - string)
+    is_null = pc.and_(pc.equal(raw, "null"), pa.array(~string))
+    return pc.if_else(is_null, pa.scalar(None, pa.large_string()), _decode(raw))
+
+
 def _attributes(s: dict[str, np.ndarray], hits: np.ndarray, in_obj: np.ndarray) -> pa.Array:
     """The scalar and string members of the objects ``hits``; of repeated names the last, as maps hold one."""
     typ, parent = s["type"], s["parent"]
@@ -259,11 +299,8 @@ def _attributes(s: dict[str, np.ndarray], hits: np.ndarray, in_obj: np.ndarray)
     leaf = np.flatnonzero(in_obj & ((typ == STR) | (typ == SCALAR)))
     leaf = leaf[rank[parent[leaf]] >= 0]
     leaf = leaf[np.argsort(rank[parent[leaf]], kind="stable")]
-    string = typ[leaf] == STR
     keys = _decode(_spans(s["data"], s["start"][leaf - 2] + 1, s["end"][leaf - 2] - 1))
-    raw = _spans(s["data"], s["start"][leaf] + string, s["end"][leaf] - string)
-    is_null = pc.and_(pc.equal(raw, "null"), pa.array(~string))
-    vals = pc.if_else(is_null, pa.scalar(None, pa.large_string()), _decode(raw))
+    vals = _values(s, leaf)
     owner = rank[parent[leaf]]
     code = pc.dictionary_encode(keys).indices.to_numpy()
     pair = owner.astype(np.int64) * (int(code.max()) + 1 if len(code) else 1) + code
@@ -272,7 +309,7 @@ def _attributes(s: dict[str, np.ndarray], hits: np.ndarray, in_obj: np.ndarray)
     return pa.MapArray.from_arrays(pa.array(offsets), keys.take(pa.array(last)).cast(pa.string()), vals.take(pa.array(last)).cast(pa.string()))
 
 
-def flatten_json(df: DataFrame, json_column: str, id_column: str = "id", attributes: bool = True) -> DataFrame:
+def flatten_json(df: DataFrame, json_column: str, id_column: str = "id", attributes: bool = True, every: bool = False) -> DataFrame:
     """Every object that is an array element in ``json_column``, as rows of ``SCHEMA``.
 
     ``row_id`` is the parent row's id and ``node_path`` the place in it; ``kind`` is the path
@@ -280,6 +317,10 @@ def flatten_json(df: DataFrame, json_column: str, id_column: str = "id", attribu
     the nearest object element above (null: the row itself) and ``position`` the place in the array,
     nulls counted. ``attributes`` holds the object's scalar and string members.
 
+    With ``every``, all else that the texts hold has rows too, with a column ``value``: objects that are members
+    or the root (``position`` is null, and they count as objects above), and the strings and scalars that are elements
+    of an array or the root, whose ``value`` is their text (null for a JSON null) and whose ``attributes`` are null.
+
     A text that is null, blank or not one whole value of strict JSON has no rows. Exact copies of
     a row give copies of its nodes; an empty table gives none. Other columns are not read.
     """
@@ -287,8 +328,10 @@ def flatten_json(df: DataFrame, json_column: str, id_column: str = "id", attribu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from flatten_batch(b.column(0), b.column(1), attributes).to_batches()
+            yield from flatten_batch(b.column(0), b.column(1), attributes, every).to_batches()
 
+    if every:
+        return rows.where("text is not null").mapInArrow(run, SCHEMA + ", value string")
     # text that holds no array or no object, even inside a string, has no such element
     return rows.where(F.col("text").contains("[") | F.col("text").contains("\\u005")).mapInArrow(run, SCHEMA)
 

@@ -52,11 +52,11 @@ def p6_criteria(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Every child of every kind with its parent, place and members (as JSON text, sorted by name)."""
+    """Every child of every kind with its parent and place: an object's members (as JSON text, sorted by name), or a plain element's value."""
     members = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attributes"))))
     parts = [
-        flatten_json(table(spark, d, t), c).select(
-            F.lit(t).alias("src_table"), "row_id", "kind", "node_path", "parent_path", "position", members.alias("members")
+        flatten_json(table(spark, d, t), c, every=True).select(
+            F.lit(t).alias("src_table"), "row_id", "kind", "node_path", "parent_path", "position", members.alias("members"), "value"
         )
         for t, c in JSON_COLUMNS
     ]

@@ -124,3 +124,58 @@ def test_criteria_in_either_shape(spark, tmp_path):
     got = {(r.row_id, r.node_path, r.position, r.id, r.weight) for r in records.p6_criteria(spark, str(tmp_path)).collect()}
     assert got == {("j1", "$[0]", 0, "c1", 2.0), ("j2", "$.criteria[0]", 0, "c1", 2.0), ("j3", "$.criteria[0]", 0, "c1", 2.0)}
     assert {r.job_id for r in analytics.criteria_calibration(spark, str(tmp_path)).collect()} == {"j1", "j2", "j3"}
+
+
+def brute_every(text):
+    """(path, parent, position, members, value) of all objects, and of all plain elements and roots, by plain recursion."""
+    found = set()
+
+    def plain(v):
+        return None if v is None else v if isinstance(v, str) else json.dumps(v)
+
+    def walk(v, path, above, place, member):
+        own = v
+        while isinstance(v, str):
+            good, inner = _valid(v)
+            if not good or not isinstance(inner, (dict, list, str)):
+                break
+            v = inner
+        if isinstance(v, dict):
+            members = {k: plain(x) for k, x in v.items() if not isinstance(x, (dict, list))}
+            found.add((path, above, place, json.dumps(members, sort_keys=True), None))
+            for k, x in v.items():
+                walk(x, f"{path}.{k}", path, None, True)
+        elif isinstance(v, list):
+            for i, x in enumerate(v):
+                walk(x, f"{path}[{i}]", above, i, False)
+        elif not member:
+            found.add((path, above, place, None, plain(own)))
+
+    if text is not None and _valid(text)[0]:
+        walk(_valid(text)[1], "$", None, None, False)
+    return found
+
+
+EVERY = [
+    '{"skills":["a",null,3,true,"[x","[1,{\\"k\\":\\"v\\"}]"],"jobs":[{"t":"x","period":{"from":"1","to":null},"skills":["b"]}],"one":{"title":"t"},"n":1}',
+    '"text"', "null", "7", "[]", "{}", '[["a",[1]],{}]', json.dumps(json.dumps('{"a":["b"]}')), json.dumps([json.dumps(json.dumps([1, {"a": {"b": 2}}])), json.dumps("x"), json.dumps(json.dumps("{x"))]), '["a",]', "", None,
+]
+
+
+def test_every_value_matches_recursion():
+    texts = EVERY + [t for t in CASES if t is None or not _valid(t)[0] or "1e5" not in t and "ud800" not in t]
+    t = flatten_batch(pa.array([str(i) for i in range(len(texts))]), pa.array(texts, pa.string()), every=True)
+    got = {}
+    for x in t.to_pylist():
+        members = None if x["attributes"] is None else json.dumps(dict(x["attributes"]), sort_keys=True)
+        got.setdefault(int(x["row_id"]), set()).add((x["node_path"], x["parent_path"], x["position"], members, x["value"]))
+    assert [got.get(i, set()) for i in range(len(texts))] == [brute_every(t) for t in texts]
+
+
+def test_nodes_hold_plain_and_nested_values(spark, tmp_path):
+    for name, column, text in (("candidates", "profile_json", EVERY[0]), ("jobs", "criteria_json", None), ("audit_events", "details_json", '{"by":{"role":"hm"},"n":2}')):
+        spark.createDataFrame([("r", text)], f"id string, {column} string").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(x.src_table, x.kind, x.position, x.parent_path, x.members, x.value) for x in records.p6_nodes(spark, str(tmp_path)).collect()}
+    assert ("candidates", "$.skills[]", 0, "$", None, "a") in got and ("candidates", "$.jobs[].period", None, "$.jobs[0]", '{"from":"1"}', None) in {(*x[:4], x[4] and x[4].replace(',"to":null', ""), x[5]) for x in got}
+    assert ("audit_events", "$.by", None, "$", '{"role":"hm"}', None) in got and ("audit_events", "$", None, None, '{"n":"2"}', None) in got
+    assert {(x.src_table, x.node_path) for x in records.p6_found(spark, str(tmp_path)).collect()} == {("candidates", "$.jobs[0]"), ("candidates", "$.skills[5][1]")}
