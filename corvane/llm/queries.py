@@ -37,24 +37,44 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     # one pass over the snippets serves both the mixed ones and the language of each CV
     snippets = cut(identify(table(spark, d, "evidence"), model, "snippet", ["id", "candidate_id"]))
     mixed = snippets.where(several).select(F.lit("evidence").alias("src_table"), F.col("id").alias("row_id"), held)
-    weight = snippets.select(key_text(F.col("candidate_id")).alias("key"), held).groupBy("key", F.col("x.lang").alias("lang")).agg(F.sum("x.chars").alias("chars"))
-    main = weight.groupBy("key").agg(F.max_by("lang", F.struct("chars", "lang")).alias("lang"))
-    rows = table(spark, d, "annotations").select(key_text(F.col("candidate_id")).alias("key"), "candidate_id", "criterion_id", language_tag(F.col("cv_language")).alias("tag")).distinct()
-    labels = rows.join(main, "key").where(F.col("tag").isNull() | (F.col("tag") != F.col("lang")))
+    labels = _annotated(spark, d, snippets).where(F.col("lang").isNotNull() & (F.col("tag").isNull() | (F.col("tag") != F.col("lang"))))
     out = cases.unionByName(mixed).select("src_table", "row_id", F.col("x.lang").alias("lang"))
     return out.unionByName(labels.select(F.lit("annotations").alias("src_table"), F.concat_ws(":", "candidate_id", "criterion_id").alias("row_id"), "lang")).distinct()
 
 
+def _annotated(spark: SparkSession, d: str, snippets: DataFrame) -> DataFrame:
+    """Every annotation row with its label's code, and the language of the candidate's snippets taken together, which is null where they hold none."""
+    per = snippets.select(key_text(F.col("candidate_id")).alias("key"), F.explode("languages").alias("x"))
+    weight = per.groupBy("key", F.col("x.lang").alias("lang")).agg(F.sum("x.chars").alias("chars"), F.sum(F.col("x.chars") * F.col("x.confidence")).alias("sure"))
+    main = weight.groupBy("key").agg(F.max_by(F.struct("lang", (F.col("sure") / F.col("chars")).alias("confidence")), F.struct("chars", "lang")).alias("m"))
+    rows = table(spark, d, "annotations").select(key_text(F.col("candidate_id")).alias("key"), "candidate_id", "criterion_id", "cv_language", language_tag(F.col("cv_language")).alias("tag")).distinct()
+    return rows.join(main, "key", "left").select("candidate_id", "criterion_id", "cv_language", "tag", "m.lang", "m.confidence")
+
+
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its languages: one row per segment, with the document's language and confidence."""
-    docs = identify(table(spark, d, "documents"), _model(spark, d), "text", ["doc_id"], segments=True)
+    return _segments(identify(table(spark, d, "documents"), _model(spark, d), "text", ["doc_id"], segments=True), "doc_id")
+
+
+def _segments(texts: DataFrame, ident: str) -> DataFrame:
     first = F.get("languages", F.lit(0))
-    rows = docs.select("doc_id", first["lang"].alias("lang"), first["confidence"].alias("confidence"), F.posexplode_outer("segments").alias("segment", "s"))
+    rows = texts.select(ident, first["lang"].alias("lang"), first["confidence"].alias("confidence"), F.posexplode_outer("segments").alias("segment", "s"))
     return rows.select(
-        "doc_id", "lang", "confidence", "segment", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.lang").alias("segment_lang"), F.col("s.confidence").alias("segment_confidence")
+        ident, "lang", "confidence", "segment", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.lang").alias("segment_lang"), F.col("s.confidence").alias("segment_confidence")
     )
 
 
+def p1_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """Every snippet with its languages, as ``p1_segments`` has the documents."""
+    return _segments(identify(table(spark, d, "evidence").select("id", "snippet").distinct(), _model(spark, d), "snippet", ["id"], segments=True), "id")
+
+
+def p1_annotations(spark: SparkSession, d: str) -> DataFrame:
+    """Every annotation row with the language of its CV (of its candidate's snippets) and the confidence, both null where they hold none."""
+    snippets = identify(table(spark, d, "evidence"), _model(spark, d), "snippet", ["id", "candidate_id"])
+    return _annotated(spark, d, snippets).select("candidate_id", "criterion_id", "cv_language", "lang", "confidence")
+
+
 def _top(spark: SparkSession, d: str, n: int) -> DataFrame:
     rows = table(spark, d, "candidates").select("job_id", "score", instant(F.col("created_at")).alias("at"), "id")
     return top_n(rows, "job_id", "score", "at", "id", n)
@@ -155,6 +175,8 @@ def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_segments": p1_segments,
+    "p1_snippets": p1_snippets,
+    "p1_annotations": p1_annotations,
     "p2_found": p2_found,
     "p2_top50": p2_top50,
     "p3_found": p3_found,

@@ -76,3 +76,20 @@ def test_corpus_labels_mostly_hold(spark):
     assert {x.src_table for x in out} == {"documents", "evidence", "annotations"}
     n = table(spark, d, "documents").count()
     assert 0.1 * n < len({x.row_id for x in out if x.src_table == "documents"}) < 0.4 * n
+
+
+def test_snippets_and_annotations(spark, tmp_path):
+    r = random.Random(3)
+    text = lambda lang, n: " ".join(sentence(r, lang) for _ in range(n))
+    save = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    save([(i, text(lang, 6), lang) for i, lang in enumerate(list(WORDS) * 20)], "doc_id bigint, text string, lang string", "documents")
+    snippets = [("e1", "c1", text("de", 4)), ("e2", "c1", text("en", 1) + " " + text("de", 3)), ("e3", "c2", text("es", 3)), ("e4", "c3", ""), ("e5", "c3", None)]
+    save(snippets * 2, "id string, candidate_id string, snippet string", "evidence")
+    save([("c1", "k1", "de"), ("c1", "k2", "en"), (" C2", "k1", None), ("c3", "k1", "en"), ("c9", "k1", "fr")], "candidate_id string, criterion_id string, cv_language string", "annotations")
+    parts = queries.p1_snippets(spark, str(tmp_path)).collect()
+    assert {x.id for x in parts} == {"e1", "e2", "e3", "e4", "e5"}
+    assert {(x.id, x.lang) for x in parts} == {("e1", "de"), ("e2", "de"), ("e3", "es"), ("e4", None), ("e5", None)}
+    assert {x.segment_lang for x in parts if x.id == "e2"} == {"en", "de"} and all((x.confidence is None) == (x.lang is None) for x in parts)
+    rows = queries.p1_annotations(spark, str(tmp_path)).collect()
+    assert {(x.candidate_id, x.criterion_id, x.lang) for x in rows} == {("c1", "k1", "de"), ("c1", "k2", "de"), (" C2", "k1", "es"), ("c3", "k1", None), ("c9", "k1", None)}
+    assert len(rows) == 5 and all((x.confidence is None) == (x.lang is None) for x in rows)
