@@ -41,7 +41,10 @@ _BOX = r"p\.? ?o\.? ?box|post ?box|postfach|postbus|apartado(?: de correos)?|kot
 _STREET_TUPLE = tuple(_STREET_END.split())
 _STREET_SET = frozenset(f"{_STREET_FIRST} box pobox postbox postfach postbus apartado pos postale bp".split())
 _NUMBERED_SET = frozenset(f"{_STREET_LAST} calle avenida avda paseo plaza rue avenue boulevard chemin quai impasse allée allee jalan jl jln".split())
-_NUMBER_WORDS = frozenset("no nr n° nomor number nummer núm #".split())
+_BOX_PARTS = ("box", "postfach", "postbus", "apartado", "kotak pos", "postale", "b.p.", "bp")
+_JOINED = re.compile(rf"[-'’](?:{_STREET_FIRST.replace(' ', '|')})\b")
+_HOUSE_FIRST = frozenset("n#" + "".join(c for c in map(chr, range(0x110000)) if c.isdecimal()))  # what a house number or the word before it begins with
+_PASSED = frozenset(".\n\r")  # tokens that may stand between a street and its number
 _W = r"[^\W\d_][\w'’-]*"
 _HOUSE = r"(?:no\.?|nr\.?|n°|nomor|number|nummer|núm\.?|#)?\s?\d{1,4}\s?(?:[a-z]\b|bis\b|ter\b)?"
 _ADDRESS_WORD = re.compile(
@@ -80,6 +83,14 @@ def shape(number: str) -> str:
     return (head.replace("0 8", "08") + body).strip()
 
 
+def _before(words: Sequence[str], i: int) -> str:
+    """The token before the i-th, without those that may stand between a street and its number."""
+    i -= 1
+    while i > 0 and words[i] in _PASSED:
+        i -= 1
+    return words[i] if i >= 0 else ""
+
+
 def specials(text: str, words: Sequence[str] | None = None) -> list[Special]:
     """Mail addresses, street-like spans and long numbers, in this order of right; ``words`` are the lower-case tokens."""
     out: list[Special] = []
@@ -97,9 +108,10 @@ def specials(text: str, words: Sequence[str] | None = None) -> list[Special]:
         rules = []
         if not _NUMBERED_SET.isdisjoint(words):
             rules.append(_ADDRESS_NUMBER)
-        if not _STREET_SET.isdisjoint(words):
+        # these tests let through all that the patterns can match; a token may end in a street word ("l'avenue") or be followed by others (". 12", "n° 12")
+        if not _STREET_SET.isdisjoint(words) or [1 for x in _BOX_PARTS if x in low] or _JOINED.search(low):
             rules.append(_ADDRESS_WORD)
-        if [1 for w, x in zip(words, words[1:], strict=False) if (x[0].isdigit() or x in _NUMBER_WORDS) and w.endswith(_STREET_TUPLE)]:
+        if [1 for i, x in enumerate(words) if x[0] in _HOUSE_FIRST and _before(words, i).endswith(_STREET_TUPLE)]:
             rules.append(_ADDRESS_END)
         for rule in rules:
             out += [(*m.span(), "A", "") for m in rule.finditer(text) if free(*m.span()) and not text[m.start() - 1 : m.start()].isalnum()]

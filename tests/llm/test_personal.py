@@ -79,3 +79,9 @@ def test_shapes():
     assert P.shape("0812‑5550‑0150") == "08xx-xxxx-xxxx"
     assert P.shape("QZ 938 002 17") == "AA xxx xxx xx"
     assert [x[2] for x in P.specials("a (at) b.example, Jl. Melati No. 3, 0812 5550 0177")] == ["E", "A", "D"]
+
+
+@pytest.mark.parametrize("text", ["Wohnt Hauptstr. 12 in Bergen", "Bahnhofstr. 5", "Bahnhofstraße n° 5", "Bahnhofstraße no5", "Ringstr. nr. 5", "Write to B.P. 12, Lyon", "Write to BP12", "à l'avenue Foch 12", "Postbus123"])
+def test_addresses_the_patterns_match_are_tried(text):
+    assert [x[2] for x in P.specials(text)] == ["A"]
+    assert P.redact(text, P.Lexicon({}, {"address": {"A": 4.6}}), frozenset()).count("[ADDRESS]") == 1
