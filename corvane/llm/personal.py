@@ -368,7 +368,7 @@ def find(df: DataFrame, column: str, keep: Sequence[str], learned: DataFrame, li
     """The columns ``keep`` and ``kind``: one row per row of ``df`` and kind of personal information in ``column``.
 
     A null or empty text has none. A lexicon above ``limit`` entries is joined to the mentions instead of
-    broadcast; then words of known names in text without case are not looked for.
+    broadcast, with the same result.
     """
     kept = df.select(*[F.col(c) for c in keep], F.col(column).cast("string").alias("__text")).where("__text <> ''")
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1])
@@ -391,43 +391,85 @@ def find(df: DataFrame, column: str, keep: Sequence[str], learned: DataFrame, li
     return kept.mapInArrow(run, f"{head}, kind string")
 
 
+def _joined(df: DataFrame, column: str, learned: DataFrame) -> DataFrame:
+    """``df`` with ``__lex``, the entries of a lexicon of any size that concern each row's text; found by joins, not broadcast.
+
+    Rows are numbered, so that exact copies stay apart. Names in text without case are looked up among all its words
+    first, as its mentions are runs of them.
+    """
+    rows = cut(df.withColumn("__row", F.monotonically_increasing_id()))
+    names = learned.where("what = 'instance' and kind = 'name'").select("value", "odds")
+    texts = rows.select("__row", F.col(column).cast("string").alias("__text")).where("__text <> ''")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, value = [], []
+            for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if t.isupper() or t.islower():
+                    low = _tokens(t)[1]
+                    found = specials(t, low)
+                    own = set(low).union(_tokens(_mask(t, found))[1] if found else ())
+                    at += [r] * len(own)
+                    value += own
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(value, pa.string())], ["__row", "value"])
+
+    known = texts.mapInArrow(words, "__row bigint, value string").join(names, "value").groupBy("__row").agg(F.collect_set("value").alias("__known"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, str, str, str]] = []
+            for r, t, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = set()
+                for kind, inst, around, _, _ in mentions(t, frozenset(k or ()))[1]:
+                    for one in _FAMILY.get(kind, ()):
+                        own.update([("instance", one, v) for v in inst] + [("pattern", one, v) for v in patterns(around)])
+                out += [(r, *x) for x in own]
+            r, w, o, v = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(w, pa.string()), pa.array(o, pa.string()), pa.array(v, pa.string())], ["__row", "what", "kind", "value"])
+
+    asked = texts.join(known, "__row", "left").select("__row", "__text", "__known").mapInArrow(keys, "__row bigint, what string, kind string, value string")
+    lex = asked.join(learned, ["what", "kind", "value"]).groupBy("__row").agg(F.collect_list(F.struct("what", "kind", "value", "odds")).alias("__lex"))
+    return rows.join(lex, "__row", "left").drop("__row")
+
+
+def _own_lexicon(entries: list[dict] | None) -> Lexicon:
+    lex = Lexicon({}, {})
+    for r in entries or ():
+        (lex.patterns if r["what"] == "pattern" else lex.instances).setdefault(r["kind"], {})[r["value"]] = r["odds"]
+    return lex
+
+
 def _find_joined(kept: DataFrame, keep: Sequence[str], head: str, learned: DataFrame) -> DataFrame:
-    """``find`` for a lexicon of any size: mentions as rows, odds by joins."""
+    """``find`` for a lexicon of any size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, no, kinds, what, value = [], [], [], [], []
-            for k, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                for m, (kind, inst, around, _, _) in enumerate(mentions(t)[1]):
-                    for one in _FAMILY.get(kind, ("email",)):
-                        for w, vs in (("instance", inst if kind != "E" else ("",)), ("pattern", patterns(around))):
-                            for v in vs:
-                                row.append(k)
-                                no.append(m)
-                                kinds.append(one)
-                                what.append(w)
-                                value.append(v)
+            row, kinds = [], []
+            for k, (t, e) in enumerate(zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)):
+                lex = _own_lexicon(e)
+                for kind in sorted({x[0] for x in accepted(t, lex, lex.names)[1]}):
+                    row.append(k)
+                    kinds.append(kind)
             at = pa.array(row, pa.int64())
-            cols = [*[c.take(at) for c in b.columns[:-1]], pa.array(no, pa.int32()), pa.array(kinds, pa.string()), pa.array(what, pa.string()), pa.array(value, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, [*keep, "__m", "kind", "what", "value"])
-
-    parts = kept.mapInArrow(run, f"{head}, __m int, kind string, what string, value string").join(learned, ["what", "kind", "value"], "left")
-    odds = F.coalesce("odds", F.lit(_UNSEEN))
-    pats = F.slice(F.sort_array(F.collect_list(F.when(F.col("what") == "pattern", odds)), asc=False), 1, 2)  # three at most
-    inst = F.avg(F.when(F.col("what") == "instance", odds))
-    best = F.aggregate(pats, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(pats), F.lit(1))
-    per = parts.groupBy(*keep, "__m", "kind").agg((best / 2 + F.coalesce(inst, F.lit(_UNSEEN)) / 2).alias("odds"))
-    top = per.groupBy(*keep, "__m").agg(F.max_by("kind", "odds").alias("kind"), F.max("odds").alias("odds"))
-    return top.where((F.col("odds") > 0) | (F.col("kind") == "email")).select(*keep, "kind").distinct()
-
-
-def redacted(df: DataFrame, column: str, learned: DataFrame) -> DataFrame:
-    """``df`` with ``column`` redacted. Null stays null; the lexicon must be small enough to broadcast."""
-    lex = collect_lexicon(learned)
+            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in b.columns[:-2]], pa.array(kinds, pa.string())], [*keep, "kind"])
+
+    return _joined(kept, "__text", learned).mapInArrow(run, f"{head}, kind string")
+
+
+def redacted(df: DataFrame, column: str, learned: DataFrame, limit: int = LEXICON_LIMIT) -> DataFrame:
+    """``df`` with ``column`` redacted. Null stays null; a lexicon above ``limit`` entries is joined instead of broadcast."""
+    lex = collect_lexicon(learned, limit)
+    columns, k = df.columns, df.columns.index(column)
     if lex is None:
-        raise ValueError(f"the lexicon has over {LEXICON_LIMIT} entries: raise the support or the limit")
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = map(_own_lexicon, b.column(b.num_columns - 1).to_pylist())
+                new = [redact(t, x, x.names) if t else t for t, x in zip(b.column(k).to_pylist(), own, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(new, pa.string()), *b.columns[k + 1 : -1]], columns)
+
+        return _joined(df, column, learned).mapInArrow(joined, df.schema)
     shared = df.sparkSession.sparkContext.broadcast(lex)
-    k = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = shared.value.names

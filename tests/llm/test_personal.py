@@ -85,3 +85,14 @@ def test_shapes():
 def test_addresses_the_patterns_match_are_tried(text):
     assert [x[2] for x in P.specials(text)] == ["A"]
     assert P.redact(text, P.Lexicon({}, {"address": {"A": 4.6}}), frozenset()).count("[ADDRESS]") == 1
+
+
+def test_joined_lexicon_gives_the_same(spark, learned):
+    rows, _, lexicon = learned
+    more = [(f"u{i}", t.upper()) for i, t, _ in rows[:200]] + [(f"l{i}", t.lower()) for i, t, _ in rows[:200]] + [(i, t) for i, t, _ in rows] + [("n", None), ("e", "")]
+    texts = spark.createDataFrame(more + more[-50:], "id string, text string")
+    both = [sorted((x.id, x.kind) for x in P.find(texts, "text", ["id"], lexicon, **k).collect()) for k in ({}, {"limit": 1})]
+    assert both[0] == both[1] and any(i[0] == "u" and kind == "name" for i, kind in both[0])
+    key = lambda x: (x.id, x.text or "")
+    out = [sorted(map(key, P.redacted(texts, "text", lexicon, **k).collect())) for k in ({}, {"limit": 1})]
+    assert out[0] == out[1] and len(out[1]) == len(more) + 50
