@@ -67,3 +67,17 @@ def test_alpha(spark):
     got = krippendorff_alpha(df, ["u"]).first()
     assert got.alpha == pytest.approx(0.743, abs=5e-4) and got.n_items == 11 and got.n_votes == 40
     assert krippendorff_alpha(df.limit(0), ["u"]).first().alpha is None
+
+
+def test_both_ways_agree(spark):
+    r = random.Random(2)
+    votes = [(f"i{i}", f"r{r.randrange(9)}", r.choice(L)) for i in range(200) for _ in range(4)]
+    df = spark.createDataFrame(votes, "item string, annotator string, label string")
+    items = spark.createDataFrame([(f"i{i}",) for i in range(205)], "item string")
+    shared, joined = consensus(df, L, items=items, rounds=4), consensus(df, L, items=items, rounds=4, pairs=3)
+    a, b = ({x.item: x for x in c.items.collect()} for c in (shared, joined))
+    assert len(a) == 205 and a.keys() == b.keys()
+    assert all(a[i].label == b[i].label and a[i].n_votes == b[i].n_votes and abs(a[i].probability - b[i].probability) < 1e-9 for i in a)
+    p, q = ({x.annotator: x for x in c.annotators.collect()} for c in (shared, joined))
+    assert p.keys() == q.keys() and all(abs(p[x].reliability - q[x].reliability) < 1e-9 for x in p)
+    assert not shared.converged and shared.rounds == joined.rounds == 4
