@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,14 +25,12 @@ def local_session(cores: int | str = 8, name: str = "corvane") -> SparkSession:
     )
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints and intermediate tables, from ``spark.checkpoint.dir``.
 
-    The folder comes from the session; only where the session names none (tests on one
-    machine) a temporary one is set. On a cluster without the setting this raises, as a
-    machine-local folder would be lost with its machine.
+    Only where the session names none (tests on one machine) a temporary one is set, which goes with
+    the process. On a cluster without the setting this raises, as a machine-local folder would be lost with its machine.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,10 +38,24 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
             if not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="corvane-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in ``shared_folder``."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=eager)
 
 
+def store(df: DataFrame, name: str = "part") -> DataFrame:
+    """Cut the lineage by a Parquet table in ``shared_folder``: compressed, read by column, and of known size to the planner."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``folder``."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
