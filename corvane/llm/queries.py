@@ -13,7 +13,7 @@ from corvane.llm.bpe import token_counts, token_ids
 from corvane.llm.consensus import Consensus, clean_label, consensus, krippendorff_alpha
 from corvane.llm.languages import Model, identify, language_tag, train
 from corvane.llm.packing import fill_report, pack
-from corvane.llm.personal import find, learn, redacted
+from corvane.llm.personal import accept, extract, find, learn, redacted
 from corvane.llm.splitting import split_oversized
 from corvane.llm.topn import top_n
 from corvane.session import cut, table
@@ -93,22 +93,23 @@ NOTES = (("evidence", "snippet"), ("reviews", "note"), ("interview_scorecards",
 
 
 def _notes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The texts of the four fields (src_table, row_id, text), and what they teach with the reviewers as known people."""
+    """The texts of the four fields (src_table, row_id, text), and what is accepted in them with the reviewers as known people."""
     parts = [table(spark, d, t).select(F.lit(t).alias("src_table"), F.col("id").alias("row_id"), F.col(c).alias("text")) for t, c in NOTES]
     texts = reduce(DataFrame.unionByName, parts)
     people = table(spark, d, "reviews").select("reviewer").unionByName(table(spark, d, "interview_scorecards").select("reviewer")).distinct()
-    return texts, cut(learn(texts, "text", people))
+    corpus = extract(texts, "text")
+    return texts, accept(corpus, learn(corpus, people))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    texts, learned = _notes(spark, d)
-    return find(texts, "text", ["src_table", "row_id"], learned).distinct()
+    texts, hits = _notes(spark, d)
+    return find(texts, "text", ["src_table", "row_id"], hits).distinct()
 
 
 def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The four fields with typed placeholders."""
-    texts, learned = _notes(spark, d)
-    return redacted(texts, "text", learned)
+    texts, hits = _notes(spark, d)
+    return redacted(texts, "text", hits)
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
