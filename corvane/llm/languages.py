@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # ISO 639-1 code, then ISO 639-2 codes, former codes and names of the language.
@@ -60,7 +60,11 @@ MEMO = 150_000  # sentences kept per worker
 DICTIONARY_BYTES = 32_768
 
 _LINE_ENDS = "\n\r\x0b\x0c\x85\u2028\u2029"
-_GAP = re.compile(rf"[.!?…][\"'”’»)\]]*;?\s+|[{_LINE_ENDS}][\s{_LINE_ENDS}]*|[|·;]\s+")
+# Scripts without blanks between words: Thai to Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uff66-\uff9f\U00020000-\U0003ffff"
+_DENSE = re.compile(f"[{_UNSPACED}]")
+_DENSE_WORD = 2  # characters that count as one word there
+_GAP = re.compile(rf"[。！？｡．][」』”’）)]*\s*|[.!?…][\"'”’»)\]]*;?\s+|[{_LINE_ENDS}][\s{_LINE_ENDS}]*|[|·;]\s+")
 _BULLETS = " \t\xa0-*•–—#>().·|"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CONTACT = re.compile(r"(?:\S+ dot )*\S*(?:@| @ | ?[\[(]at[\])] ?| at (?=\S+ dot ))\S+(?:(?: dot | ?[\[(]dot[\])] ?)\S+)*")
@@ -71,6 +75,9 @@ class _Fold(dict):
 
     def __missing__(self, code: int) -> str:
         c = chr(code)
+        if "가" <= c <= "힣":  # a syllable is one letter
+            self[code] = c
+            return c
         base = [x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x)]
         self[code] = out = " " if c.isdigit() or not base else base[0]
         return out
@@ -126,15 +133,16 @@ def folded_sentences(text: str | None) -> list[tuple[int, int, str]]:
         return []
     f = text.translate(_FOLD)
     contact = _has_contact(f)
+    dense = not f.isascii() and _DENSE.search(f) is not None
     out = []
     for a, b in sentences(text):
-        if b - a > 2 * MIN_WORDS:
+        if b - a > 2 * MIN_WORDS or dense and b - a >= _DENSE_WORD * MIN_WORDS:
             s = f[a:b]
             if contact and _has_contact(s):
                 s = _CONTACT.sub(" ", s)
             words = s.lstrip(_BULLETS).split()
             n = len(words)
-            if n >= 2 * MIN_WORDS or n >= MIN_WORDS and sum(1 for w in words if w.isalpha() or _LETTERS.search(w)) >= MIN_WORDS:
+            if n >= 2 * MIN_WORDS or n >= MIN_WORDS and sum(1 for w in words if w.isalpha() or _LETTERS.search(w)) >= MIN_WORDS or dense and len(_DENSE.findall(s)) >= MIN_WORDS * _DENSE_WORD:
                 out.append((a, b, " ".join(words)))
     return out
 
@@ -238,11 +246,12 @@ def identify(df: DataFrame, model: Model, text: str, keep: Sequence[str], segmen
     return kept.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, text: str, label: str, ident: str, per_language: int = 300, least: int = 3, rounds: int = 3) -> Model:
-    """Dictionaries from at most ``per_language`` labelled documents a language, chosen by hash of the id.
+def train(docs: DataFrame, text: str, label: str, ident: str, per_language: int = 300, per_document: int = 200, least: int = 3, rounds: int = 3) -> Model:
+    """Dictionaries from about ``per_language`` (at most twice that) labelled documents a language, chosen by hash of the id.
 
-    Languages with fewer than ``least`` labelled documents are left out. The bound holds for what
-    is sent to the driver; all that is classified with the model is read in full.
+    Of each at most ``per_document`` different sentences, also chosen by hash, are sent to the driver. Languages with fewer than
+    ``least`` labelled documents are left out. The bounds hold for the sample that is learnt from; all that is classified
+    with the model is read in full.
     """
     tagged = docs.select(F.xxhash64(F.col(ident)).alias("h"), language_tag(F.col(label)).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")
     sizes = {r.l: r.n for r in docs.select(language_tag(F.col(label)).alias("l")).where("l is not null").groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect() if r.n >= least}
@@ -253,16 +262,31 @@ def train(docs: DataFrame, text: str, label: str, ident: str, per_language: int
     for lang, n in sorted(sizes.items()):
         share = min(1.0, per_language / n)
         pick = pick | ((F.col("l") == lang) & (F.pmod(F.col("h"), F.lit(1_000_003)) < int(share * 1_000_003) + 1))
-    sample = sorted((r.l, r.h, r.t) for r in tagged.where(pick).select("l", "h", "t").collect())
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
+    sample = tagged.where(pick).withColumn("k", place).where(F.col("k") <= 2 * per_language)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, found = b.column(0), [Counter(s for _, _, s in folded_sentences(t)) for t in b.column(1).to_pylist()]
+            some = [sorted(c, key=hash_text)[:per_document] for c in found]
+            row = pa.array([k for k, own in enumerate(some) for _ in own], pa.int64())
+            kept = pa.array([s.encode("utf-8", "replace").decode() for own in some for s in own], pa.string())
+            yield pa.RecordBatch.from_arrays([langs.take(row), kept, pa.array([c[s] for c, own in zip(found, some, strict=True) for s in own], pa.int64())], ["l", "s", "n"])
+
     pool: dict[str, Counter[str]] = {}
-    taken: dict[str, int] = {}
-    for lang, _, t in sample:
-        taken[lang] = taken.get(lang, 0) + 1
-        if taken[lang] <= 2 * per_language:
-            pool.setdefault(lang, Counter()).update(s for _, _, s in folded_sentences(t))
+    for r in sample.select("l", "t").mapInArrow(run, "l string, s string, n bigint").groupBy("l", "s").agg(F.sum("n").alias("n")).collect():
+        pool.setdefault(r.l, Counter())[r.s] = r.n
     return fit(pool, rounds)
 
 
+def _units(s: str) -> set[str]:
+    """The words of a folded sentence; of scripts without blanks the pairs of characters."""
+    words = set(_LETTERS.findall(s))
+    if s.isascii() or not _DENSE.search(s):
+        return words
+    return {w for w in words if not _DENSE.search(w)} | {w[i : i + 2] for w in words if _DENSE.search(w) for i in range(max(1, len(w) - 1))}
+
+
 def _relabel(pool: dict[str, Counter[str]], rounds: int) -> dict[str, list[str]]:
     """The sentences by the language whose labelled sentences use their words most.
 
@@ -270,11 +294,11 @@ def _relabel(pool: dict[str, Counter[str]], rounds: int) -> dict[str, list[str]]
     relatively rarer there than where they belong. Sentences near a tie are left out.
     """
     languages = sorted(pool)
-    words = {s: set(_LETTERS.findall(s)) for own in pool.values() for s in own}
+    words = {s: _units(s) for own in pool.values() for s in own}
     now: dict[str, Counter[str]] = pool
-    every = Counter()
-    for own in pool.values():
-        every.update(own)
+    every: Counter[str] = Counter()
+    for lang in languages:
+        every.update(dict(sorted(pool[lang].items())))
     for _ in range(rounds):
         log: dict[str, dict[str, float]] = {}
         floor: dict[str, float] = {}

@@ -93,3 +93,23 @@ def test_snippets_and_annotations(spark, tmp_path):
     rows = queries.p1_annotations(spark, str(tmp_path)).collect()
     assert {(x.candidate_id, x.criterion_id, x.lang) for x in rows} == {("c1", "k1", "de"), ("c1", "k2", "de"), (" C2", "k1", "es"), ("c3", "k1", None), ("c9", "k1", None)}
     assert len(rows) == 5 and all((x.confidence is None) == (x.lang is None) for x in rows)
+
+
+def test_scripts_without_blanks_and_hangul(spark):
+    r = random.Random(5)
+    chars = {"zh": "的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出就分对成会可主发年动", "ja": "のにはをたがでてとしれさあるいもするからなことしてい人年大日中本会社私時行見月分後前生"}
+    korean = "저는 서울에 그리고 있습니다 회사에서 업무를 합니다 우리는 매일 새로운 계획을 준비하고 함께 일했습니다 작년부터".split()
+
+    def text(lang):
+        if lang == "ko":
+            return " ".join(" ".join(r.choice(korean) for _ in range(r.randrange(7, 12))) + "." for _ in range(5))
+        return "".join("".join(r.choice(chars[lang]) for _ in range(r.randrange(14, 30))) + "。" for _ in range(5))
+
+    rows = [(i, text(lang), lang if i > 20 else "") for i, lang in enumerate(["zh", "ja", "ko"] * 30)]
+    rows.append((900, text("zh") + text("ja"), None))
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    out = {x.doc_id: [y.lang for y in x.languages] for x in L.identify(df, L.train(df, "text", "lang", "doc_id"), "text", ["doc_id"]).collect()}
+    assert all(out[i] == [("zh", "ja", "ko")[i % 3]] for i in range(90))
+    assert sorted(out[900]) == ["ja", "zh"]
+    assert L.folded_sentences("저는 서울에 그리고 있습니다 회사에서 업무를")[0][2] == "저는 서울에 그리고 있습니다 회사에서 업무를"
+    assert [t for *_, t in L.folded_sentences("我在中国的一个大国生活了很久。短句。")] == ["我在中国的一个大国生活了很久。"]
