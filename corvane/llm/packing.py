@@ -56,11 +56,10 @@ def pack(sizes: DataFrame, capacity: int, ident: str = "doc_id", size: str = "n_
         raise ValueError("capacity must be positive")
     groups = max(1, math.ceil((sizes.count() if items is None else items) / group_items))
     n = F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0))
-    rows = sizes.select(
-        F.col(ident),
-        n.alias("__n"),
-        # by place as well as by id: a repeated id is spread, too
-        F.pmod(F.xxhash64(F.col(ident), F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("__g"),
+    # equal items are counted before they are numbered: a repeated id is spread, and the file order makes no difference
+    equal = sizes.groupBy(F.col(ident), n.alias("__n")).agg(F.count(F.lit(1)).alias("__c"))
+    rows = equal.select(F.col(ident), "__n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__c"))).alias("__k")).select(
+        F.col(ident), "__n", F.pmod(F.xxhash64(F.col(ident), F.col("__n"), F.col("__k")), F.lit(groups)).cast("int").alias("__g")
     )
     cap = F.lit(capacity).cast("bigint")
     last = F.greatest(F.ceil(F.col("__n") / cap) - 1, F.lit(0)).cast("int")

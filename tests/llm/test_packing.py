@@ -57,3 +57,11 @@ def test_report_and_empty(spark):
     assert (r.containers, r.tokens, r.least_containers) == (2, 600, 2)
     with pytest.raises(ValueError):
         pack(spark.createDataFrame([], "doc_id bigint, n_tokens int"), 0)
+
+
+def test_file_order_makes_no_difference(spark):
+    r = random.Random(4)
+    rows = [(k, r.randrange(1, 600)) for k in range(1500)] + [(3, 40)] * 50 + [(None, 7)] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, n_tokens int")
+    a, b = ([tuple(x) for x in pack(x, 512, group_items=200).collect()] for x in (df.repartition(1), df.repartition(7)))
+    assert sorted(a, key=str) == sorted(b, key=str) and len(a) >= len(rows)

@@ -61,3 +61,12 @@ def test_corpus(spark):
         assert x.n_tokens == len(b.encode(x.text)) <= 256
         joined[x.doc_id] = joined.get(x.doc_id, "") + texts[x.doc_id][x.start : x.end]
     assert joined == {k: t for k, t in texts.items() if t is not None}
+
+
+def test_overlap_reaches_into_long_words():
+    r = random.Random(11)
+    for limit, overlap in ((64, 8), (40, 10)):
+        word = lambda: "".join(r.choice("abcdefghij-_/.") for _ in range(r.randrange(30, 60)))
+        pieces = check(" ".join(word() for _ in range(60)), limit, overlap)
+        assert all(0 < p[3] <= overlap + 1 for p in pieces[1:])
+        assert sum(p[3] for p in pieces[1:]) / len(pieces[1:]) > 0.6 * overlap
