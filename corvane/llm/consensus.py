@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.session import cut
+from corvane.session import cut, store
 
 PAIRS = 50_000  # (annotator, label) pairs whose counts may be broadcast; beyond, they are joined
 
@@ -105,6 +105,7 @@ def consensus(
         .where(F.col("__l").isin(*labels) & F.col("__a").isNotNull())
         .dropna(subset=key)
     )
+    given = store(given, "votes")
     every = items.select(*key).dropna().withColumn("__own", F.lit(True)) if items is not None else None
     known = given.select("__a", "__l").distinct().limit(pairs + 1).collect()
     fit = _fit_joined if len(known) > pairs else _fit_shared
@@ -151,7 +152,7 @@ def _fit_shared(given: DataFrame, every: DataFrame | None, key: list[str], prior
     if every is not None:
         coded = coded.withColumn("__own", F.lit(False)).unionByName(every.withColumn("__code", F.lit(None).cast("int")))
     own = [F.max("__own").alias("__own")] if every is not None else []
-    grouped = cut(coded.groupBy(*key).agg(F.collect_set("__code").alias("__codes"), *own))
+    grouped = store(coded.groupBy(*key).agg(F.collect_set("__code").alias("__codes"), *own), "items")
     annotators = {a: i for i, a in enumerate(dict.fromkeys(a for a, _ in known))}
     who = np.array([annotators[a] for a, _ in known], np.int64)
     base = np.array([[prior.of(m, c) for m in range(k)] for _, c in known]).reshape(-1, k)

@@ -135,24 +135,22 @@ ITEM = ("candidate_id", "criterion_id")
 
 
 def _people(spark: SparkSession, d: str) -> DataFrame:
-    """Single people's labels: item, annotator, label."""
+    """Single people's labels: item, role, annotator, label. Copies are not dropped."""
     packets = table(spark, d, "annotation_packets")
-    return packets.select(*ITEM, "reviewer_role", "annotator", clean_label(F.col("reviewer_label"), LABELS).alias("label")).dropna().distinct()
+    return packets.select(*ITEM, "reviewer_role", "annotator", clean_label(F.col("reviewer_label"), LABELS).alias("label")).dropna()
 
 
 def _votes(spark: SparkSession, d: str) -> DataFrame:
     """All votes: people, adjudicators and the matcher each by their own name; the role columns of
     ``annotations`` repeat a person's label and count only where no label of that role is known."""
-    people = _people(spark, d)
-    rows = table(spark, d, "annotations")
+    people, rows = _people(spark, d), table(spark, d, "annotations")
     matched = F.create_map(*[F.lit(x) for x in ("matched", "supported", "partial", "partial", "unknown", "no_evidence", "needs_verification", "needs_verification")])
-    out = people.select(*ITEM, "annotator", "label")
-    out = out.unionByName(rows.select(*ITEM, F.lit("@adjudicator").alias("annotator"), clean_label(F.col("adjudicated_label"), LABELS).alias("label")))
-    out = out.unionByName(rows.select(*ITEM, F.lit("@matcher").alias("annotator"), matched[F.lower(F.trim("model_result"))].alias("label")))
-    for role in ("recruiter", "hiring_manager"):
-        single = rows.select(*ITEM, F.lit(f"@{role}").alias("annotator"), clean_label(F.col(f"{role}_label"), LABELS).alias("label"))
-        out = out.unionByName(single.join(people.where(F.col("reviewer_role") == role).select(*ITEM), list(ITEM), "left_anti"))
-    return out
+    vote = lambda who, label: F.struct(F.lit(who).alias("annotator"), label.alias("label"))
+    own = [vote("@adjudicator", clean_label(F.col("adjudicated_label"), LABELS)), vote("@matcher", matched[F.lower(F.trim("model_result"))])]
+    out = people.select(*ITEM, "annotator", "label").unionByName(rows.select(*ITEM, F.inline(F.array(*own))))
+    roles = F.array(*[F.struct(F.lit(r).alias("reviewer_role"), clean_label(F.col(f"{r}_label"), LABELS).alias("label")) for r in ("recruiter", "hiring_manager")])
+    single = rows.select(*ITEM, F.inline(roles)).where("label is not null").join(people, [*ITEM, "reviewer_role"], "left_anti")
+    return out.unionByName(single.select(*ITEM, F.concat(F.lit("@"), "reviewer_role").alias("annotator"), "label"))
 
 
 def _consensus(spark: SparkSession, d: str) -> Consensus:
@@ -170,7 +168,7 @@ def p3_annotators(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Krippendorff's alpha of the people's labels."""
-    return krippendorff_alpha(_people(spark, d), ITEM).select(F.round("alpha", 9).alias("alpha"), "n_items", "n_votes")
+    return krippendorff_alpha(_people(spark, d).distinct(), ITEM).select(F.round("alpha", 9).alias("alpha"), "n_items", "n_votes")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
