@@ -7,21 +7,26 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EMAIL = r"\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b"
+from corvane.functions import fixed as X
+
+EMAIL = r"\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b"  # fixed value
 # Spans that may be phones: at least ten digits with the usual separators, told from date ranges by the digit count.
 PHONE = r"(?<!\w)(?=\+?(?:[ ().-]*\d){10})\+?[\d(][\d ().-]{7,}\d(?!\w)"
-LINE_END = "\r\n|[\n\r\u000b\f\u001c-\u001e\u0085  ]"
-# Labels of lines that name a person, in English and Indonesian.
-SENSITIVE_LABELS = (
-    "name", "full name", "email", "e-mail", "phone", "telephone", "mobile", "address", "gender", "sex", "religion", "marital status", "nationality",
-    "date of birth", "dob", "birth date", "age", "nama", "nama lengkap", "surel", "telepon", "telp", "no hp", "alamat", "jenis kelamin", "agama",
-    "status perkawinan", "kewarganegaraan", "tanggal lahir", "tempat lahir", "umur", "usia",
-)
-# Words left out of retrieval.
-STOP_WORDS = (
-    "a an and are as at be by for from has have in is it its of on or that the this to was were will with what which who how "
-    "yang dan di ke dari untuk dengan pada adalah ini itu atau oleh sebagai dalam apa"
-).split()
+LINE_END = "\r\n|[\n\r\u000b\f\u001c-\u001e\u0085\u2028\u2029]"
+STOP_WORDS = tuple(sorted({*X.STOP_EN.split(), *X.STOP_ID.split()} - set(X.SIGNALS.split())))
+
+
+def _phrases(text: str) -> str:
+    """The alternatives of a list of phrases, longest first, with any white space for blanks."""
+    every = [x for line in text.split("\n") for x in line.split("|") if x]
+    return "|".join(x.replace(" ", r"\s+") for x in sorted(every, key=len, reverse=True))
+
+
+_LABEL = {
+    "taxonomy": rf"(?i)^\s*(?:{_phrases(X.TAXONOMY_LABELS)}|{X.TAXONOMY_NUMBERED})\s*[:|–-]",
+    "live": rf"(?i)^\s*(?:{_phrases(X.LIVE_LABELS)}|{X.LIVE_NUMBERED})\s*[:|–-]",
+}
+_BIRTH = {"taxonomy": X.TAXONOMY_BIRTH, "live": X.LIVE_BIRTH}
 
 
 def normalize(text: Column) -> Column:
@@ -44,41 +49,86 @@ def redact_phone(text: Column, token: str = "[phone removed]") -> Column:
     return F.regexp_replace(text, PHONE, token.replace("[", "\\[").replace("]", "\\]"))
 
 
-def redact_birth(text: Column, token: str = "[birth date removed]") -> Column:
-    return F.regexp_replace(text, r"(?i)\b(?:dob|date of birth|birth date|tanggal lahir)\s*[:|–-]\s*[^;|,\n]+", token.replace("[", "\\[").replace("]", "\\]"))
+def redact_birth(text: Column, token: str = "[birth date removed]", profile: str = "taxonomy") -> Column:
+    return F.regexp_replace(text, f"(?i){_BIRTH[profile]}", token.replace("[", "\\[").replace("]", "\\]"))
 
 
-def is_sensitive_line(line: Column) -> Column:
+def redact_age(text: Column, token: str = "[age removed]") -> Column:
+    return F.regexp_replace(text, f"(?i){X.AGE}", token.replace("[", "\\[").replace("]", "\\]"))
+
+
+def is_sensitive_line(line: Column, profile: str = "taxonomy") -> Column:
     """Whether a line begins with a label of personal data."""
-    return line.rlike(r"(?i)^\s*(?:" + "|".join(x.replace(" ", r"\s+") for x in SENSITIVE_LABELS) + r")\s*[:|–-]")
+    return line.rlike(_LABEL[profile])
 
 
-def redact_for_evidence(text: Column, limit: int = 700) -> Column:
-    """Lines of personal data dropped, addresses and phones replaced, blanks collapsed, cut at ``limit``."""
-    kept = F.array_join(F.filter(lines(text), lambda x: ~is_sensitive_line(x)), " ")
-    return F.substring(F.trim(F.regexp_replace(redact_birth(redact_phone(redact_email(kept))), r"(?U)\s+", " ")), 1, limit)
+def collapse(text: Column) -> Column:
+    """White space as single blanks, none outside."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def focused_excerpt(text: Column, terms: Sequence[str], limit: int = 700, radius: int = 160) -> Column:
-    """``text`` up to ``limit``; if longer, the windows around the first place of each term, overlapping ones as one.
+def redact_for_evidence(text: Column, limit: int = 700, profile: str = "taxonomy", focus: Column | None = None) -> Column:
+    """Lines of personal data dropped, addresses and phones (``live``: and ages) replaced, blanks collapsed.
 
-    Windows are merged as sorted intervals by a fold over at most as many places as there are terms.
+    What is longer than ``limit`` is cut there, or (``live``) to excerpts around the ``focus`` terms, an array of text.
     """
-    low = F.lower(text)
-    at = F.array_sort(F.array_distinct(F.filter(F.array(*[F.instr(low, t.lower()) for t in terms]), lambda p: p > 0)))
-    each = max(20, min(radius, limit // (2 * max(1, len(terms))) - 10))
-    width = lambda p: F.struct(F.greatest(p - each, F.lit(1)).alias("a"), F.least(p + each, F.length(text)).alias("b"))
-    spans = F.transform(at, width)
+    kept = F.filter(lines(text), lambda x: ~is_sensitive_line(x, profile))
+    clean = F.transform(kept, lambda x: redact_phone(redact_email(x)))
+    if profile == "live":
+        clean = F.transform(clean, lambda x: redact_age(x))
+    flat = collapse(F.array_join(F.transform(clean, lambda x: redact_birth(x, profile=profile)), " "))
+    if focus is None:
+        return F.substring(flat, 1, limit)
+    return F.transform(F.array(flat), lambda x: F.when(F.length(x) <= limit, x).otherwise(_excerpt(x, focus, limit)))[0]
+
+
+def focused_excerpt(text: Column, terms: Sequence[str], limit: int = 700) -> Column:
+    """``text`` up to ``limit``; if longer, the windows around the first whole-word place of each term."""
+    return F.when(F.length(text) <= limit, text).otherwise(_excerpt(text, F.array(*[F.lit(t) for t in terms]), limit))
+
+
+def _excerpt(text: Column, terms: Column, limit: int) -> Column:
+    """Windows of 160 characters on either side of each term's first place, less by 20 until they fit; overlapping ones as one."""
+    low = normalize(text)
+    quoted = lambda t: F.concat(F.lit(r"(?<!\w)\Q"), t, F.lit(r"\E(?!\w)"))
+    at = lambda t: F.struct((F.regexp_instr(low, quoted(t)) - 1).alias("a"), F.length(t).alias("n"))
+    spots = F.filter(F.transform(F.filter(F.transform(terms, normalize), lambda t: t != ""), at), lambda x: x.getField("a") >= 0)
     empty = F.expr("cast(array() as array<struct<a:int,b:int>>)")
+    size = F.length(text)
 
     def join(done: Column, x: Column) -> Column:
         last = F.try_element_at(done, F.lit(-1))
-        merged = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))
+        merged = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.named_struct(F.lit("a"), last["a"], F.lit("b"), F.greatest(last["b"], x["b"]))))
         return F.when((F.size(done) > 0) & (x["a"] <= last["b"]), merged).otherwise(F.concat(done, F.array(x)))
 
-    merged = F.aggregate(spans, empty, join)
-    parts = F.transform(merged, lambda s: F.trim(F.substring(text, s["a"], s["b"] - s["a"] + 1)))
-    return F.when(F.length(text) <= limit, text).when(F.size(at) == 0, F.substring(text, 1, limit)).otherwise(F.substring(F.array_join(parts, " … "), 1, limit))
+    def window(spots: Column, width: Column) -> Column:
+        edge = lambda x: F.named_struct(F.lit("a"), F.greatest(x.getField("a") - width, F.lit(0)), F.lit("b"), F.least(x.getField("a") + x.getField("n") + width, size))
+        spans = F.aggregate(F.array_sort(F.transform(spots, edge)), empty, join)
+        part = lambda s: F.concat(F.when(s["a"] > 0, "…").otherwise(""), F.substring(text, s["a"] + 1, s["b"] - s["a"]), F.when(s["b"] < size, "…").otherwise(""))
+        return F.array_join(F.transform(spans, part), " … ")
+
+    def choose(spots: Column) -> Column:
+        tried = F.transform(F.sequence(F.lit(160), F.lit(0), F.lit(-20)), lambda w: window(spots, w))
+        fitting = F.filter(tried, lambda x: F.length(x) <= limit)
+        return F.when(F.size(spots) == 0, F.substring(text, 1, limit)).otherwise(F.substring(F.coalesce(F.try_element_at(fitting, F.lit(1)), F.element_at(tried, -1)), 1, limit))
+
+    return F.transform(F.array(spots), choose)[0]
+
+
+def without_sensitive_lines(text: Column) -> Column:
+    """The text without labelled lines of personal data, but with what follows a sentence's end or a heading in them."""
+
+    def tail(line: Column) -> Column:
+        rest = F.regexp_replace(line, _LABEL["live"], "")
+        heading = rf"(?is)^.*?(?=\b(?:{_phrases(X.HEADINGS)})\b)"
+        ends = F.array_compact(F.array(
+            F.when(rest.rlike(r"[.!?]\s+(?=[A-Z])"), F.length(F.regexp_extract(rest, r"(?s)^.*?[.!?]\s+(?=[A-Z])", 0))),
+            F.when(rest.rlike(heading), F.length(F.regexp_extract(rest, heading, 0))),
+        ))
+        return F.when(F.size(ends) > 0, F.substring(rest, F.array_min(ends) + 1, F.length(rest)))
+
+    parts = F.split(F.coalesce(text, F.lit("")), LINE_END)
+    return F.array_join(F.array_compact(F.transform(parts, lambda x: F.when(is_sensitive_line(x, "live"), tail(x)).otherwise(x))), "\n")
 
 
 def word_pattern(term: str) -> str:
@@ -92,25 +142,70 @@ def any_pattern(terms: Sequence[str]) -> str:
     return "|".join(word_pattern(t) for t in terms)
 
 
+def _alternation(names: Sequence[str]) -> str:
+    """A pattern without width whose group 1 is the longest of ``names`` that begins at a place, in lower text with any white space."""
+    quoted = [word_pattern(n)[len(r"(?<!\w)") : -len(r"(?!\w)")].replace(" ", r"\s+").replace("-", "[-–—]") for n in sorted(names, key=len, reverse=True)]
+    return rf"(?U)(?<!\w)(?=({'|'.join(quoted)})(?!\w))"
+
+
+def _beginnings(names: Sequence[str]) -> dict[str, list[str]]:
+    """Every name with those that are whole words at its beginning, itself included."""
+    low = {n: n.lower().strip() for n in names}
+    return {low[n]: [m for m in names if low[n].startswith(low[m]) and not (low[n][len(low[m]) :][:1].isalnum() or low[n][len(low[m]) :][:1] == "_")] for n in names}
+
+
 def skills(text: Column, names: Sequence[str]) -> Column:
-    """Which of ``names`` occur as whole words, in the order of ``names``."""
-    low = normalize(text)
-    return F.array_compact(F.array(*[F.when(low.rlike(word_pattern(n)), F.lit(n)) for n in names]))
+    """Which of ``names`` occur as whole words, in the order of ``names``; one scan for all of them."""
+    found = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_alternation(names)), 1)), normalize))
+    inner = _beginnings(names)
+    table = F.create_map(*[x for n, own in inner.items() for x in (F.lit(n), F.array(*[F.lit(m) for m in own]))])
+    every = F.transform(F.array(found), lambda f: F.flatten(F.transform(f, lambda s: table[s])))[0]
+    return F.transform(F.array(every), lambda e: F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.array_contains(e, n)))[0]
+
+
+def occurrences(text: Column, pattern: str) -> Column:
+    """The matches of ``pattern`` in order: array of (before, found, after), with the 120 characters before each."""
+    parts, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), 0)
+
+    def build(parts: Column, found: Column) -> Column:
+        def one(f: Column, i: Column) -> Column:
+            lo = F.greatest(i - 60, F.lit(0))  # a part and a match have two characters or more
+            joined = F.zip_with(F.slice(parts, lo + 1, i - lo + 1), F.slice(found, lo + 1, i - lo), lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
+            after = F.coalesce(F.try_element_at(parts, i + 2), F.lit(""))
+            return F.named_struct(F.lit("before"), F.right(F.array_join(joined, ""), F.lit(120)), F.lit("found"), f, F.lit("after"), after)
+
+        return F.transform(found, one)
+
+    return F.transform(F.array(F.struct(parts.alias("p"), found.alias("f"))), lambda x: build(x.getField("p"), x.getField("f")))[0]
+
+
+def is_denied(before: Column) -> Column:
+    """Whether the text before a mention denies it: a cue in the same clause, at most six words before."""
 
+    def judge(clause: Column) -> Column:
+        last = rf"(?s)^.*\b({X.CUES})\b(.*)$"
+        cue, words = F.regexp_extract(clause, last, 1), F.regexp_extract_all(F.regexp_extract(clause, last, 2), F.lit(r"[a-z0-9]+(?:'[a-z]+)?"), 0)
+        first = F.coalesce(F.try_element_at(words, F.lit(1)), F.lit(""))
+        harmless = F.lit(False)
+        for cues, after in X.NOT_DENIED.items():
+            harmless = harmless | (cue.isin(*cues) & first.isin(*after))
+        return (cue != "") & (F.size(words) <= 6) & ~harmless
 
-# Cues that deny what follows, and phrases that only look so.
-NEGATION = r"\b(?:no|not|never|without|lacks?|lacking|tidak|belum|tanpa|bukan|kurang|minim)\b"
-NOT_NEGATION = r"\b(?:not (?:only|just)|bukan (?:hanya|sekadar|cuma)|kurang (?:lebih|dari))\b"
+    return F.transform(F.slice(F.split(before, r"[.!?;,]"), -1, 1), judge)[0]
 
 
-def negated_mentions(line: Column, terms: Sequence[str], words: int = 6) -> Column:
-    """For each occurrence of one of ``terms``: whether a denying cue stands up to ``words`` words before it in its clause."""
-    low = normalize(line)
-    parts = F.split(low, any_pattern(terms))
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), " "))
-    clause = lambda p: F.regexp_replace(F.element_at(F.split(F.right(p, F.lit(120)), r"[.!?;,]"), F.lit(-1)), NOT_NEGATION, " ")
-    found = F.transform(prefixes, lambda p: clause(p).rlike(rf"(?s).*{NEGATION}(?:\W+\w+){{0,{words}}}\W*$"))
-    return F.when(F.size(parts) > 1, found).otherwise(F.array().cast("array<boolean>"))
+def negated_mentions(line: Column, terms: Sequence[str]) -> Column:
+    """For each occurrence of one of ``terms`` in order, whether it is denied."""
+    return F.transform(occurrences(normalize(line), any_pattern(sorted(terms, key=len, reverse=True))), lambda x: is_denied(x["before"]))
+
+
+def live_skills(text: Column, names: Sequence[str] = X.LIVE_SKILLS) -> Column:
+    """Which of ``names`` occur as whole words at least once without being denied, in the order of ``names``."""
+    hits = occurrences(normalize(text), any_pattern(sorted(names, key=len, reverse=True)))
+    good = F.transform(F.filter(hits, lambda x: ~is_denied(x["before"])), lambda x: x["found"])
+    table = F.create_map(*[x for n, own in _beginnings(names).items() for x in (F.lit(n), F.array(*[F.lit(m) for m in own]))])
+    every = F.flatten(F.transform(F.array_distinct(good), lambda s: table[s]))
+    return F.transform(F.array(every), lambda e: F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.array_contains(e, n)))[0]
 
 
 def experience_years(text: Column) -> Column:
@@ -126,25 +221,33 @@ def experience_years(text: Column) -> Column:
     return F.array_max(F.filter(F.transform(found, lambda x: x.try_cast("int")), lambda x: x.between(1, 50)))
 
 
-# Number words of durations.
-NUMBER_WORDS = {
-    **{w: i for i, w in enumerate("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split(), 1)},
-    **{w: i for i, w in enumerate("satu dua tiga empat lima enam tujuh delapan sembilan sepuluh sebelas".split(), 1)},
-    **{f"{w} belas": i for i, w in enumerate("dua tiga empat lima enam tujuh delapan sembilan".split(), 12)},
-    "dua puluh": 20, "a": 1, "an": 1, "couple of": 2, "a couple of": 2,
-}
+_NUMBER = {**{w: float(i) for i, w in enumerate(X.NUMBERS_EN.split(), 1)}, **{w: float(i) for i, w in enumerate(X.NUMBERS_ID.split("|"), 1)}, "a": 1.0, "an": 1.0, "couple of": 2.0, "a couple of": 2.0}
+_AMOUNT = "|".join(sorted([*_NUMBER, *X.VAGUE.split("|")], key=len, reverse=True))
+_DURATION = rf"\b(?:(?:{X.ABOUT})\s+)?({_AMOUNT}|\d{{1,2}}(?:[.,]\d{{1,2}})?\+?)\s+(years?|yrs?|decades?|tahun|thn)\b"
 
 
 def experience_duration(text: Column) -> Column:
-    """Years of the first duration that is not an age (digits, decimals, number words, decades ×10); null if none."""
-    low = normalize(text)
-    words = "|".join(sorted((w.replace(" ", r"\s+") for w in NUMBER_WORDS), key=len, reverse=True))
-    span = rf"(?<![\w.,])(\d{{1,2}}(?:[.,]\d)?|{words})[ +-]*(years?|yrs?|decades?|tahun|dekade)\b(?!\s*(?:old|of age))"
-    masked = F.regexp_replace(low, r"\b(?:age|aged|usia|umur|berusia|berumur|candidate is)\b[^.;]{0,40}?(?:\d{1,2}(?:[.,]\d)?|\w+)\s*(?:years?|yrs?|tahun)\b(?:\s+(?:old|of age))?", " # ")
-    number, unit = F.regexp_extract(masked, span, 1), F.regexp_extract(masked, span, 2)
-    table = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in (pair[0], float(pair[1]))])
-    value = F.coalesce(F.replace(number, F.lit(","), F.lit(".")).try_cast("double"), table[F.regexp_replace(number, r"\s+", " ")])
-    return F.when(number != "", value * F.when(unit.rlike("^de"), 10.0).otherwise(1.0))
+    """Years of the first duration that is not an age; null if there is none."""
+    return duration_mention(text)["years"]
+
+
+def duration_mention(text: Column) -> Column:
+    """The first duration that is not an age, as a struct (years, text): decades count ten, a few or several have null years; null if there is none."""
+    own = lambda x: ~x["before"].rlike(X.AGE_BEFORE) & ~x["after"].rlike(r"^\s*(?:old\b|of\s+age\b)")
+    table = F.create_map(*[F.lit(x) for pair in _NUMBER.items() for x in pair])
+
+    def value(found: Column) -> Column:
+        amount = F.regexp_replace(F.regexp_extract(found, _DURATION, 1), r"\+$", "")
+        number = F.coalesce(F.replace(amount, F.lit(","), F.lit(".")).try_cast("double"), table[amount])
+        return F.named_struct(F.lit("years"), number * F.when(F.regexp_extract(found, _DURATION, 2).startswith("decade"), 10.0).otherwise(1.0), F.lit("text"), found)
+
+    return F.try_element_at(F.transform(F.slice(F.filter(occurrences(normalize(text), _DURATION), own), 1, 1), lambda x: value(x["found"])), F.lit(1))
+
+
+def education_mentions(text: Column) -> Column:
+    """The credentials as they are written, in order; what stands in labelled lines of personal data is none."""
+    found = F.regexp_extract_all(without_sensitive_lines(text), F.lit(rf"(?i)(?<!\w)(?:{'|'.join(X.CREDENTIALS)})(?!\w)"), 0)
+    return F.transform(found, collapse)
 
 
 def education_levels(text: Column, levels: Mapping[str, str]) -> Column:
@@ -162,9 +265,12 @@ EDUCATION = {
 
 
 def tokenize(text: Column, stop_words: Sequence[str] = ()) -> Column:
-    """Retrieval tokens: runs of a-z 0-9 + # . / -, without edge punctuation but for + and #, single characters only if c, r or a digit."""
+    """Retrieval tokens: runs of a-z 0-9 + # . / -, without edge punctuation but for + # and a leading dot, single characters only if c, r or a digit.
+
+    ``stop_words`` are left out; signal words and technical terms should not be among them.
+    """
     raw = F.regexp_extract_all(normalize(text), F.lit(r"([a-z0-9+#./-]+)"), 1)
-    clean = F.transform(raw, lambda t: F.regexp_replace(F.regexp_replace(t, r"^[/-]+|^\.+(?![a-z])", ""), r"[./-]+$", ""))
+    clean = F.transform(raw, lambda t: F.regexp_replace(t, r"^[/-]+|[./-]+$", ""))
     keep = F.filter(clean, lambda t: (F.length(t) > 1) | t.rlike("^[cr0-9]$"))
     return F.filter(keep, lambda t: ~t.isin(*stop_words)) if stop_words else keep
 

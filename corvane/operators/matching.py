@@ -1,8 +1,8 @@
 """Criteria against lines of text: the first line that holds a criterion decides, with a traceable place.
 
 Criteria come as data. Their patterns are literals of the plan (a handful per job), so the engine
-compiles each once; lines are exploded with their number, and one aggregate per document and
-criterion keeps the first line of each class. No text is sent to the driver.
+compiles each once. A document stays one row: its lines are an array, and each criterion looks for its first line
+there, so nothing is shuffled. Lines are normalised once, and only where a document holds a criterion's words at all.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions import fixed as X
 from corvane.functions import text as T
+from corvane.functions.instants import instant
 
 
 @dataclass(frozen=True)
@@ -26,14 +28,29 @@ class Criterion:
     weight: float = 1.0
     aliases: tuple[str, ...] = ()
 
-    @property
-    def terms(self) -> tuple[str, ...]:
-        """The label, its parts between / | & ( ) and the aliases, each once."""
+    def terms(self, profile: str = "taxonomy") -> tuple[str, ...]:
+        """The label and its aliases, each once; ``taxonomy`` adds the label's parts between / | & ( ), ``live`` the fixed aliases of the label."""
+        label = " ".join(self.label.lower().split())
         parts = [self.label]
-        for sep in "/|&()":
-            parts = [x for p in parts for x in p.split(sep)]
+        if profile == "live":
+            for key, other in X.LIVE_ALIASES.items():
+                if label == key or label in other:
+                    parts += other
+        else:
+            for sep in "/|&()":
+                parts = [x for p in parts for x in p.split(sep)]
         return tuple(dict.fromkeys(x.strip().lower() for x in (self.label, *parts, *self.aliases) if len(x.strip()) > 1))
 
+    @property
+    def tokens(self) -> tuple[str, ...]:
+        """The words of the label, repeated ones as often as they stand there."""
+        return tuple(t for t in re.findall(r"[a-z0-9+#.]+", self.label.lower()) if len(t) > 1)
+
+    @property
+    def enough(self) -> int:
+        """How many of the words a line needs to match in part; none can if there are fewer than two."""
+        return max(2, ceil(len(self.tokens) / 2))
+
 
 def document_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per non-blank line: ``ident``, line_no (from 0), line."""
@@ -41,33 +58,75 @@ def document_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") -
 
 
 def match_criteria(lines: DataFrame, criteria: Sequence[Criterion], ident: str = "doc_id", profile: str = "taxonomy") -> DataFrame:
-    """One row per document and criterion: result, confidence, line_no and redacted snippet of the deciding line.
+    """``match_documents`` for documents given as rows of ``ident``, line_no and line."""
+    docs = lines.groupBy(ident).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("__lines"))
+    return _match(docs, criteria, [ident], profile)
+
+
+def match_documents(docs: DataFrame, criteria: Sequence[Criterion], keep: Sequence[str] = ("doc_id",), text: str = "text", profile: str = "taxonomy") -> DataFrame:
+    """One row per document with a line and criterion: ``keep``, the criterion, result, confidence, line_no and redacted snippet of the deciding line.
 
     ``taxonomy``: a line with an alias is a match; else one with at least two (and half) of the label's
     tokens is partial; the first line of the better class decides. ``live`` adds: a denied mention on any line
-    makes the criterion ``needs_verification``, as does a hit whose snippet is redacted away.
+    makes the criterion ``needs_verification``, as does a hit whose snippet is redacted away. A document without lines has no rows.
     """
-    low = F.lower(T.normalize(F.col("line")))
-    rows = []
-    for c in criteria:
-        tokens = [t for t in dict.fromkeys(re.findall(r"[a-z0-9+#.]+", c.label.lower())) if len(t) > 1]
-        exact = low.rlike(T.any_pattern(c.terms))
-        hits = sum((F.when(low.rlike(T.word_pattern(t)), 1).otherwise(0) for t in tokens), F.lit(0))
-        partial = (hits >= max(2, ceil(len(tokens) / 2))) if len(tokens) >= 2 else F.lit(False)
-        grade = F.when(exact, 2).when(partial, 1).otherwise(0)
+    return _match(docs.select(*[F.col(c) for c in keep], T.lines(F.col(text)).alias("__lines")), criteria, keep, profile)
+
+
+def _match(docs: DataFrame, criteria: Sequence[Criterion], keep: Sequence[str], profile: str) -> DataFrame:
+    longest = lambda term: F.lit(max(term.split(), key=len))
+    terms = {c.id: c.terms(profile) for c in criteria}
+    every = docs.where(F.size("__lines") > 0).withColumn("__all", F.replace(F.translate(F.lower(F.array_join("__lines", "\n")), "–—", "--"), F.lit("ß"), F.lit("ss")))
+
+    def possible(c: Criterion) -> Column:
+        """Whether the words are there at all, in whatever line."""
+        exact = [F.contains(F.col("__all"), longest(t)) for t in terms[c.id]]
+        out = exact[0]
+        for x in exact[1:]:
+            out = out | x
+        if len(c.tokens) > 1:
+            out = out | (sum((F.contains(F.col("__all"), F.lit(t)).cast("int") for t in c.tokens), F.lit(0)) >= c.enough)
+        return out
+
+    flags = every.select(*keep, "__lines", F.array(*[possible(c) for c in criteria]).alias("__may"))
+    low = F.when(F.exists("__may", lambda x: x), F.transform("__lines", T.normalize)).otherwise(F.array().cast("array<string>"))
+    ready = flags.select(*keep, "__lines", "__may", low.alias("__low"))
+    none = F.array(*[F.lit(0).cast("bigint")] * 3)
+
+    def places(c: Criterion) -> Column:
+        """Numbers (from 1, 0: none) of the first denied line (``live``), the first match and the first partial one."""
+        exact = T.any_pattern(sorted(terms[c.id], key=len, reverse=True))
+        first = lambda test: F.array_position(F.transform("__low", test), F.lit(True))
+        some = lambda x, denied: x.rlike(exact) & F.exists(T.negated_mentions(x, terms[c.id]), lambda y: y if denied else ~y)
+        words = lambda x: sum((x.rlike(T.word_pattern(t)).cast("int") for t in c.tokens), F.lit(0)) >= c.enough
+        part = first(lambda x: ~x.rlike(exact) & words(x)) if len(c.tokens) > 1 else none[0]
         if profile == "live":
-            grade = F.when(exact & F.exists(T.negated_mentions(F.col("line"), c.terms), lambda x: x), 3).otherwise(grade)
-        rows.append(F.struct(F.lit(c.id).alias("criterion_id"), F.lit(c.label).alias("criterion"), F.lit(c.type).alias("type"), F.lit(float(c.weight)).alias("weight"), grade.alias("grade")))
-    each = lines.select(F.col(ident), "line_no", "line", F.explode(F.array(*rows)).alias("m"))
-    best = each.groupBy(ident, "m.criterion_id", "m.criterion", "m.type", "m.weight").agg(
-        F.min(F.struct((-F.col("m.grade")).alias("g"), "line_no", F.when(F.col("m.grade") > 0, F.col("line")).alias("line"))).alias("b")
-    )
-    snippet = F.when(F.col("b.g") < 0, T.redact_for_evidence(F.col("b.line")))
-    hidden = (F.col("b.g") < 0) & (snippet == "") if profile == "live" else F.lit(False)
-    result = F.when((F.col("b.g") == -3) | hidden, "needs_verification").when(F.col("b.g") == -2, "matched").when(F.col("b.g") == -1, "partial").otherwise("unknown")
-    out = best.select(ident, "criterion_id", "criterion", "type", "weight", result.alias("result"), F.when(F.col("b.g") < 0, F.col("b.line_no")).alias("line_no"), F.coalesce(snippet, F.lit("")).alias("snippet"))
-    value = F.when(F.col("result") == "matched", 1.0).when(F.col("result") == "partial", 0.5).otherwise(0.0)
-    return out.withColumn("confidence", value)
+            return F.array(first(lambda x: some(x, True)), first(lambda x: some(x, False)), part)
+        return F.array(none[0], first(lambda x: x.rlike(exact)), part)
+
+    rows = []
+    for k, c in enumerate(criteria):
+        focus = F.filter(F.array(*[F.lit(t) for t in dict.fromkeys((*terms[c.id], *c.tokens))]), lambda t: t != "")
+        rows.append(F.struct(
+            F.lit(c.id).alias("criterion_id"), F.lit(c.label).alias("criterion"), F.lit(c.type).alias("type"), F.lit(float(c.weight)).alias("weight"),
+            F.when(F.col("__may")[k], places(c)).otherwise(none).alias("at"), focus.alias("focus"),
+        ))
+    each = ready.select(*keep, "__lines", F.explode(F.array(*rows)).alias("m")).select(*keep, "__lines", "m.*")
+    grade = F.when(F.col("at")[0] > 0, 0).when(F.col("at")[1] > 0, 1).when(F.col("at")[2] > 0, 2)
+    found = each.select(*keep, "criterion_id", "criterion", "type", "weight", "focus", grade.alias("g"), F.when(grade.isNotNull(), F.get("at", grade) - 1).alias("line_no"), "__lines")
+    found = found.select("*", F.get("__lines", F.col("line_no").cast("int")).alias("line"))
+    snippet = T.redact_for_evidence(F.col("line"), profile=profile, focus=F.col("focus") if profile == "live" else None)
+    found = found.select(*keep, "criterion_id", "criterion", "type", "weight", "g", F.col("line_no").cast("int").alias("line_no"), F.when(F.col("g").isNotNull(), snippet).otherwise("").alias("snippet"))
+    hidden = F.col("g").isNotNull() & (F.col("snippet") == "") if profile == "live" else F.lit(False)
+    result = F.when((F.col("g") == 0) | hidden, "needs_verification").when(F.col("g") == 1, "matched").when(F.col("g") == 2, "partial").otherwise("unknown")
+    out = found.select(*keep, "criterion_id", "criterion", "type", "weight", result.alias("result"), "line_no", "snippet")
+    return out.withColumn("confidence", F.when(F.col("result") == "matched", 1.0).when(F.col("result") == "partial", 0.5).otherwise(0.0))
+
+
+def score_documents(docs: DataFrame, criteria: Sequence[Criterion], keep: Sequence[str] = ("doc_id",), text: str = "text", profile: str = "taxonomy") -> DataFrame:
+    """``keep`` and the weighted score in percent of every document with a line."""
+    m = match_documents(docs, criteria, keep, text, profile)
+    return score(m.select(F.struct(*keep).alias("__k"), "result", "weight"), "__k").select("__k.*", "score", "n_criteria")
 
 
 def score(evidence: DataFrame, ident: str = "candidate_id") -> DataFrame:
@@ -80,5 +139,5 @@ def score(evidence: DataFrame, ident: str = "candidate_id") -> DataFrame:
 
 
 def canonical_order(df: DataFrame, ident: str = "id") -> DataFrame:
-    """Score descending, created_at ascending, id ascending."""
-    return df.orderBy(F.col("score").desc_nulls_last(), F.col("created_at").asc_nulls_last(), F.col(ident).asc())
+    """Score descending, created_at ascending as an instant, id ascending."""
+    return df.orderBy(F.col("score").desc_nulls_last(), instant(F.col("created_at")).asc_nulls_last(), F.col(ident).asc())

@@ -15,7 +15,7 @@ from corvane.operators import matching as M
 from corvane.operators import retrieval as R
 from corvane.operators import scorecards as S
 from corvane.sources import writers as W
-from corvane.session import table
+from corvane.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,9 +80,8 @@ _MATCH = (
 )
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    lines = M.document_lines(table(spark, d, "documents").select("doc_id", "text"))
-    return M.score(M.match_criteria(lines, CRITERIA), "doc_id")
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query(
@@ -94,22 +93,20 @@ def lexical_score_topk(spark: SparkSession, d: str) -> DataFrame:
     """Lines, criteria, weighted score, and the ten best documents of every source."""
     from pyspark.sql import Window
 
-    s = _scores(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    s = M.score_documents(spread(table(spark, d, "documents").select("doc_id", "source", "text")), CRITERIA, ("doc_id", "source"))
     w = Window.partitionBy("source").orderBy(F.desc("score"), "doc_id")
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("source", "doc_id", "score", "rank")
 
 
 @query("criteria_matches", _MATCH + " SELECT doc_id, c criterion_id, CASE grade WHEN 2 THEN 'matched' WHEN 1 THEN 'partial' ELSE 'unknown' END result FROM g")
 def criteria_matches(spark: SparkSession, d: str) -> DataFrame:
-    lines = M.document_lines(table(spark, d, "documents").select("doc_id", "text"))
-    return M.match_criteria(lines, CRITERIA).select("doc_id", "criterion_id", "result")
+    return M.match_documents(_texts(spark, d), CRITERIA).select("doc_id", "criterion_id", "result")
 
 
 @query("live_matches")
 def live_matches(spark: SparkSession, d: str) -> DataFrame:
     """The live profile: denied mentions need verification, with the deciding line and its redacted snippet."""
-    lines = M.document_lines(table(spark, d, "documents").select("doc_id", "text"))
-    return M.match_criteria(lines, CRITERIA, profile="live")
+    return M.match_documents(_texts(spark, d), CRITERIA, profile="live")
 
 
 @query("line_stats", "WITH " + _LINES + " SELECT doc_id, count(*) n_lines FROM lines GROUP BY 1")
@@ -150,7 +147,7 @@ SKILLS = ("python", "sql", "docker", "kubernetes", "kafka", "react", "figma", "e
 )
 def skill_frequency(spark: SparkSession, d: str) -> DataFrame:
     """Documents that name each skill."""
-    s = table(spark, d, "documents").select("doc_id", F.explode(T.skills(F.col("text"), SKILLS)).alias("skill"))
+    s = _texts(spark, d).select("doc_id", F.explode(T.skills(F.col("text"), SKILLS)).alias("skill"))
     return s.groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
 
 

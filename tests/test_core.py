@@ -141,3 +141,43 @@ def test_scorecards(spark):
     assert got[None, None] == (4.0, 4) and got["recruiter", None] == (3.5, 2) and got["hiring_manager", None] == (4.5, 2) and got[None, "t"] == (4.5, 2)
     d = S.role_delta(cards, scores).first()
     assert (d.delta, d.sign) == (1.0, -1)
+
+
+LIVE = (
+    ("No experience with Python.", "needs_verification"), ("Not familiar with Python.", "needs_verification"), ("Lacked Python in the last role.", "needs_verification"),
+    ("Didn't use Python.", "needs_verification"), ("Jarang memakai Python.", "needs_verification"), ("Belum pernah memakai Python", "needs_verification"),
+    ("Not only used Python but also Go.", "matched"), ("Bukan hanya Python, juga Go.", "matched"), ("Kurang lebih 5 tahun memakai Python.", "matched"),
+    ("No travel. Built APIs in Python.", "matched"), ("No one of all the eight people in the team knew how much Python mattered", "matched"),
+    ("Name: Synthetic Candidate; Python engineer", "needs_verification"), ("No experience with Python.\nBuilt production APIs with Python.", "needs_verification"),
+)
+
+
+def test_live_profile(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LIVE)] + [(90, None), (91, "\n \n")], "doc_id int, text string")
+    got = {x.doc_id: x for x in M.match_documents(docs, (M.Criterion("p", "Python"),), profile="live").collect()}
+    assert {i: got[i].result for i in got} == {i: r for i, (_, r) in enumerate(LIVE)}
+    assert got[11].snippet == "" and got[12].snippet == "No experience with Python." and got[12].line_no == 0
+    part = M.match_documents(spark.createDataFrame([(1, "Key stakeholder led the department's management transition.")], "doc_id int, text string"), (M.Criterion("s", "stakeholder management"),), profile="live")
+    assert [(x.result, x.confidence) for x in part.collect()] == [("partial", 0.5)]
+    both = [sorted(map(str, M.match_documents(docs, (M.Criterion("p", "Python"),), profile=p).collect())) == sorted(map(str, M.match_criteria(M.document_lines(docs), (M.Criterion("p", "Python"),), profile=p).select("doc_id", "criterion_id", "criterion", "type", "weight", "result", "line_no", "snippet", "confidence").collect())) for p in ("live", "taxonomy")]
+    assert both == [True, True]
+
+
+def test_live_texts(spark):
+    red = lambda t: one(spark, t, lambda c: T.redact_for_evidence(c, profile="live"))
+    lines = "Nama lengkap: K S\nEmail: k@example.test\nNo. HP: +62 812-3456-7890\nTempat, Tanggal Lahir: Jakarta, 12 Mei 1994\nAlamat domisili: Jalan Contoh 17\nJenis Kelamin: Perempuan\nAgama: Islam\nUsia: 32\nNIK: 3174010212900001\nPaspor: X1234567\nDisabilitas: tidak ada\nPython services delivered."
+    assert red(lines) == "Python services delivered."
+    assert red("Python services; age: 32; berusia 31 tahun; 30 years old.").count("[age removed]") == 3
+    assert "12 years of experience" in red("Python engineer with 12 years of experience.")
+    x = red("Python engineer contact qa@example.com phone +1 555 010 2020 date of birth: 1994-03-12")
+    assert "[email removed]" in x and "[phone removed]" in x and "1994-03-12" not in x
+    years = {"Candidate is 30 years of age; has 3 years of Python experience.": 3.0, "Saya berumur 30 tahun.": None, "Dua puluh tahun pengalaman": 20.0, "1.5 years of work": 1.5, "a few years, then 5 years": None, "over two decades": 20.0, "Usia 30,5 tahun.": None, "age 30 years and five years of work": 5.0, "a couple of years": 2.0}
+    assert {t: one(spark, t, T.experience_duration) for t in years} == years
+    assert one(spark, "has 3 years here", T.duration_mention).text == "3 years"
+    edu = {"Master of Business Administration (MBA)": ["Master of Business Administration", "MBA"], "S1 Informatika; Magister Manajemen; Doktor": ["S1", "Magister", "Doktor"], "Acted as scrum master here": [], "Name: Bachelor of Science\nAge: Master of Arts": [], "DOB: 20 Jan 1992 Education Bachelor of Science": ["Bachelor of Science"]}
+    assert {t: one(spark, t, T.education_mentions) for t in edu} == edu
+    assert one(spark, "No experience with Python. Go and React.js used; never Docker", T.live_skills) == ["go", "react", "react.js"]
+    assert one(spark, "C++ and  machine\nlearning, react.js", lambda c: T.skills(c, ["machine learning", "c++", "react", "react.js", "node"])) == ["machine learning", "c++", "react", "react.js"]
+    long = "filler " * 80 + "python here " + "filler " * 80 + "docker there " + "filler " * 80
+    x = one(spark, long, lambda c: T.redact_for_evidence(c, profile="live", focus=F.array(F.lit("python"), F.lit("docker"))))
+    assert len(x) <= 700 and "python" in x and "docker" in x and " … " in x
