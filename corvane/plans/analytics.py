@@ -336,8 +336,10 @@ def job_reports(spark: SparkSession, d: str) -> DataFrame:
     return W.job_reports(table(spark, d, "jobs"), table(spark, d, "candidates"), table(spark, d, "evidence"))
 
 
-_CRIT = """RECURSIVE t(row_id, v) AS (SELECT id, CAST(criteria_json AS JSON) FROM jobs WHERE json_valid(criteria_json) UNION SELECT row_id, CAST(v ->> '$' AS JSON) FROM t WHERE json_type(v) = 'VARCHAR' AND json_valid(v ->> '$')),
-crit AS (SELECT DISTINCT row_id job_id, i, o ->> '$.label' "label", o ->> '$.type' "type", TRY_CAST(o ->> '$.weight' AS DOUBLE) w FROM (SELECT row_id, i, json_extract(v, '$[' || i || ']') o FROM (SELECT *, unnest(range(json_array_length(v)::BIGINT)) i FROM t WHERE json_type(v) = 'ARRAY')) WHERE json_type(o) = 'OBJECT')"""
+_CRIT = """RECURSIVE t(row_id, p, v) AS (SELECT id, '$', CAST(criteria_json AS JSON) FROM jobs WHERE json_valid(criteria_json) UNION SELECT row_id, p, w FROM (
+  SELECT row_id, p, CAST(v ->> '$' AS JSON) w FROM t WHERE json_type(v) = 'VARCHAR' AND json_valid(v ->> '$')
+  UNION ALL SELECT row_id, '$.criteria', json_extract(v, '$.criteria') FROM t WHERE p = '$' AND json_type(v) = 'OBJECT' AND list_contains(json_keys(v), 'criteria'))),
+crit AS (SELECT DISTINCT row_id job_id, p, i, o ->> '$.label' "label", o ->> '$.type' "type", TRY_CAST(o ->> '$.weight' AS DOUBLE) w FROM (SELECT row_id, p, i, json_extract(v, '$[' || i || ']') o FROM (SELECT *, unnest(range(json_array_length(v)::BIGINT)) i FROM t WHERE json_type(v) = 'ARRAY')) WHERE json_type(o) = 'OBJECT')"""
 
 
 @query("criteria_calibration", f"""WITH {_CRIT}, x AS (SELECT *, greatest(coalesce(w, 0), 0) g, coalesce("type", '') = 'required' req FROM crit),

@@ -9,21 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators.nested import child_table, flatten_json
-from corvane.operators.references import Reference, broken_references, orphan_report
-from corvane.session import table
+from corvane.operators.references import Reference, broken_references, broken_rows, existence_deltas, fold, orphan_report, reference_deltas, reference_rows, suspects
+from corvane.session import store, table
 
 CRITERIA = ("$[]", "$.criteria[]")  # criteria_json is the list itself, or an object that holds it
 JSON_COLUMNS = (("candidates", "profile_json"), ("jobs", "criteria_json"), ("audit_events", "details_json"))
 
 
-def _broken(spark: SparkSession, d: str) -> DataFrame:
+def _references(spark: SparkSession, d: str) -> list[Reference]:
     cards, audit = table(spark, d, "interview_scorecards"), table(spark, d, "audit_events")
-    refs = [
+    return [
         Reference("interview_scorecards", cards, "candidate_id", "candidates"),
         Reference("interview_scorecards", cards, "job_id", "jobs"),
         Reference("audit_events", audit, "candidate_id", "candidates"),
     ]
-    return broken_references(refs, {"candidates": table(spark, d, "candidates"), "jobs": table(spark, d, "jobs")})
+
+
+def _broken(spark: SparkSession, d: str) -> DataFrame:
+    return broken_references(_references(spark, d), {"candidates": table(spark, d, "candidates"), "jobs": table(spark, d, "jobs")})
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,6 +40,23 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p5_kept_state(spark: SparkSession, d: str) -> DataFrame:
+    """The orphans of a state that is kept: the changes up to 2024 are folded and stored, then those since; a third of the jobs is deleted at last.
+
+    All rows take part. A deleted job is one whose id begins with 0 to 4 after its prefix.
+    """
+    rows = reference_rows(_references(spark, d))
+    own = {t: table(spark, d, t).select("id", "created_at").distinct() for t in ("candidates", "jobs")}
+    came = [existence_deltas(t, df) for t, df in own.items()]
+    early = lambda x, c: x.where(F.coalesce(F.col(c) < F.lit("2024-07-01").cast("timestamp"), F.lit(True)))
+    late = lambda x, c: x.where(F.col(c) >= F.lit("2024-07-01").cast("timestamp"))
+    named = reference_deltas(rows)
+    kept = store(fold(early(named, "named"), *[early(x, "born") for x in came]), "references")
+    went = own["jobs"].where(F.substring_index("id", "_", -1).rlike("^[0-4]"))
+    now = fold(kept, late(named, "named"), *[late(x, "born") for x in came], existence_deltas("jobs", went, sign=-1))
+    return broken_rows(rows, suspects(now)).select("src_table", "row_id", "ref_field", "reason")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     parts = [
         flatten_json(table(spark, d, t), c, attributes=False).select(F.lit(t).alias("src_table"), "row_id", "node_path")
@@ -66,6 +86,7 @@ def p6_nodes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_report": p5_report,
+    "p5_kept_state": p5_kept_state,
     "p6_found": p6_found,
     "p6_criteria": p6_criteria,
     "p6_nodes": p6_nodes,
@@ -94,6 +115,8 @@ ORACLES: dict[str, str] = {
     "p5_report": _BROKEN_SQL
     + """SELECT src_table, ref_field, reason, strftime(date_trunc('month', t AT TIME ZONE 'UTC'), '%Y-%m-%d') period,
       count(*) n_references, count(DISTINCT k) n_keys FROM broken GROUP BY ALL""",
+    "p5_kept_state": _BROKEN_SQL.replace("SELECT 'jobs', id, created_at FROM jobs)", "SELECT 'jobs', id, created_at FROM jobs WHERE NOT regexp_matches(id, '(^|_)[0-4][^_]*$'))").replace("THEN 'absent'", "THEN CASE WHEN refs.target = 'jobs' AND refs.k IN (SELECT lower(trim(id)) FROM jobs) THEN 'deleted' ELSE 'absent' END")
+    + "SELECT DISTINCT src_table, row_id, ref_field, reason FROM broken",
     "p6_found": r"""
 WITH RECURSIVE src AS (
   SELECT 'candidates' src_table, id row_id, profile_json j FROM candidates
@@ -112,11 +135,13 @@ t(src_table, row_id, node_path, elem, v) AS (
     FROM (SELECT *, unnest(json_keys(v)) k FROM t WHERE json_type(v) = 'OBJECT')))
 SELECT DISTINCT src_table, row_id, node_path FROM t WHERE elem AND json_type(v) = 'OBJECT'""",
     "p6_criteria": r"""
-WITH RECURSIVE t(row_id, v) AS (
-  SELECT id, CAST(criteria_json AS JSON) FROM jobs WHERE json_valid(criteria_json)
-  UNION ALL SELECT row_id, CAST(v ->> '$' AS JSON) FROM t WHERE json_type(v) = 'VARCHAR' AND json_valid(v ->> '$')),
-e AS (SELECT row_id, i, json_extract(v, '$[' || i || ']') o FROM (SELECT *, unnest(range(json_array_length(v)::BIGINT)) i FROM t WHERE json_type(v) = 'ARRAY'))
-SELECT DISTINCT row_id, '$[' || i || ']' node_path, CAST(NULL AS VARCHAR) parent_path, CAST(i AS INT) "position",
+WITH RECURSIVE t(row_id, p, v) AS (
+  SELECT id, '$', CAST(criteria_json AS JSON) FROM jobs WHERE json_valid(criteria_json)
+  UNION ALL SELECT row_id, p, w FROM (
+    SELECT row_id, p, CAST(v ->> '$' AS JSON) w FROM t WHERE json_type(v) = 'VARCHAR' AND json_valid(v ->> '$')
+    UNION ALL SELECT row_id, '$.criteria', json_extract(v, '$.criteria') FROM t WHERE p = '$' AND json_type(v) = 'OBJECT' AND list_contains(json_keys(v), 'criteria'))),
+e AS (SELECT row_id, p, i, json_extract(v, '$[' || i || ']') o FROM (SELECT *, unnest(range(json_array_length(v)::BIGINT)) i FROM t WHERE json_type(v) = 'ARRAY'))
+SELECT DISTINCT row_id, p || '[' || i || ']' node_path, CAST(NULL AS VARCHAR) parent_path, CAST(i AS INT) "position",
   o ->> '$.id' id, o ->> '$.label' "label", o ->> '$.type' "type", TRY_CAST(o ->> '$.weight' AS DOUBLE) weight
 FROM e WHERE json_type(o) = 'OBJECT'""",
 }

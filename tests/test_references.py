@@ -1,5 +1,5 @@
 from corvane.functions.instants import instant, key_text
-from corvane.operators.references import Reference, broken_references, existence_deltas, fold, orphan_report, reference_deltas, reference_rows, suspects
+from corvane.operators.references import Reference, broken_references, broken_rows, existence_deltas, fold, orphan_report, reference_deltas, reference_rows, suspects
 from pyspark.sql import functions as F
 
 S = "id string, candidate_id string, created_at string, key string, target string"
@@ -68,3 +68,19 @@ def test_state_follows_deltas(spark):
     assert {r.key for r in suspects(came).collect()} == {"c1"}
     went = fold(came, existence_deltas("candidates", cands.where("id = 'c2'"), sign=-1))
     assert {r.key for r in suspects(went).collect()} == {"c1", "c2"}
+
+
+def test_deleted_and_back_again(spark):
+    born = lambda at: spark.createDataFrame([("k", None, at, "", "")], S)
+    refs = spark.createDataFrame([("r", "K", "2024-02-01T00:00:00Z", "", "")], S)
+    rows = reference_rows([Reference("t", refs, "candidate_id", "candidates")])
+    state = fold(reference_deltas(rows), existence_deltas("candidates", born("2024-01-01")))
+    assert suspects(state).count() == 0
+    gone = fold(state, existence_deltas("candidates", born("2024-01-01"), sign=-1))
+    assert [(x.key, x.born, x.gone) for x in suspects(gone).collect()] == [("k", None, True)]
+    assert [x.reason for x in broken_rows(rows, suspects(gone)).collect()] == ["deleted"]
+    back = fold(gone, existence_deltas("candidates", born("2024-06-01")))
+    assert [(str(x.born), x.gone) for x in suspects(back).collect()] == [("2024-06-01 00:00:00", False)]
+    assert [x.reason for x in broken_rows(rows, suspects(back)).collect()] == ["later"]
+    unnamed = fold(back, reference_deltas(rows, sign=-1))
+    assert suspects(unnamed).count() == 0
