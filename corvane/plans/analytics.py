@@ -568,29 +568,107 @@ def approval_gate(spark: SparkSession, d: str) -> DataFrame:
 # ---- retrieval
 
 
-def _corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    jobs = table(spark, d, "jobs").select("id", "description").distinct()
-    chunks = R.sentence_chunks(jobs, "id", "description")
-    queries = spark.createDataFrame([("q1", "budget review for the spring"), ("q2", "Python services without manual restarts"), ("q3", "incident handbook"), ("q4", "dan yang the")], "query_id string, text string")
-    return chunks, queries
+QUESTIONS = (
+    R.Query("q1", "budget review for the spring"), R.Query("q2", "Python services without manual restarts"), R.Query("q3", "incident handbook"), R.Query("q4", "dan yang the"),
+    R.Query("q5", "kriteria wajib Python"), R.Query("q6", "panduan wawancara cloud"),
+)
+GUIDES = (("Ask every candidate the same questions and score them by the same rubric.", "Structured interview", 1.3), ("Score what the candidate did and what came of it, panduan wawancara STAR.", "Evidence", 1.3), ("The scale runs from 1 (no evidence) to 5 (mastery).", "Scale", 1.4))
+RUBRICS = (("python", "Rubric: services, tests and packaging in Python."), ("cloud", "Rubric: cost, failure and access in the cloud."), (None, "Rubric ({}): a real situation, the candidate's own part and the measured result."))
+TECHNICAL = ("python", "cloud", "sql", "docker")
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.operators.nested import child_table, flatten_json
+    from corvane.plans.records import CRITERIA
+
+    jobs = table(spark, d, "jobs")
+    criteria = child_table(flatten_json(jobs, "criteria_json"), CRITERIA, {"label": "string", "type": "string", "weight": "double"}).select(F.col("row_id").alias("job_id"), "position", "label", "type", "weight")
+    guides = spark.createDataFrame([(i, *g) for i, g in enumerate(GUIDES)], "no int, text string, label string, source_weight double")
+    rubrics = spark.createDataFrame([(i, *r) for i, r in enumerate(RUBRICS)], "no int, keyword string, text string")
+    return R.job_chunks(jobs, criteria, guides, rubrics)
+
+
+def _quote(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _norm(c: str) -> str:
+    return f"trim(regexp_replace(replace(replace(replace(lower({c}), '–', '-'), '—', '-'), 'ß', 'ss'), '{_WS}', ' ', 'g'))"
 
 
-@query("bm25_topk")
+def _tokens(c: str) -> str:
+    stop = ", ".join(map(_quote, T.STOP_WORDS))
+    clean = f"list_transform(regexp_extract_all({c}, '[a-z0-9+#./-]+'), lambda x: regexp_replace(x, '^[/-]+|[./-]+$', '', 'g'))"
+    return f"list_filter({clean}, lambda x: (length(x) > 1 OR regexp_matches(x, '^[cr0-9]$')) AND NOT list_contains([{stop}], x))"
+
+
+def _sentences(c: str) -> str:
+    parts = rf"regexp_split_to_array(regexp_replace({c}, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+|[•\-*]\s+')"
+    return f"list_filter(list_transform({parts}, lambda x: trim(regexp_replace(x, '{_WS}', ' ', 'g'))), lambda x: length(x) >= 5)"
+
+
+_DESCRIBED = f"""chunks AS (SELECT id, CAST(i - 1 AS INT) chunk_no, s "text" FROM (SELECT id, unnest(ss) s, generate_subscripts(ss, 1) i FROM (SELECT id, {_sentences('description')} ss FROM (SELECT DISTINCT id, description FROM jobs WHERE description IS NOT NULL)))),
+tok AS (SELECT id, chunk_no, {_tokens(_norm('"text"'))} tokens FROM chunks)"""
+_ASKED = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({_quote(q.id)}, {_quote(q.normal)}, [{', '.join(map(_quote, q.tokens))}]::VARCHAR[], {_quote(q.intent)})" for q in QUESTIONS) + ") v(query_id, normal, toks, intent))"
+_RETRIEVED = rf"""WITH {_CRIT}, j AS (SELECT DISTINCT id job_id, trim(coalesce(title, '')) title, trim(coalesce(department, '')) department, trim(coalesce(description, '')) description FROM jobs),
+c AS (SELECT *, coalesce(w, CASE WHEN req THEN 2.0 ELSE 1.0 END) weight FROM (SELECT DISTINCT job_id, i, trim("label") "label", lower(coalesce("type", 'required')) = 'required' req, w FROM crit) WHERE "label" <> ''),
+g AS (SELECT * FROM (VALUES {', '.join(f"({i}, {_quote(a)}, {_quote(b)}, {w})" for i, (a, b, w) in enumerate(GUIDES))}) v("no", "text", "label", w)),
+ru AS (SELECT * FROM (VALUES {', '.join(f"({i}, {_quote(a) if a else 'NULL'}, {_quote(b)})" for i, (a, b) in enumerate(RUBRICS))}) v("no", keyword, "text")),
+ch AS (SELECT job_id, 0 a, 0 b, 'position_meta' source_type, title "label", 'Position: ' || title || CASE WHEN department <> '' THEN ' | Department: ' || department ELSE '' END "text", 1.2 sw FROM j WHERE title <> ''
+ UNION ALL SELECT job_id, 1, i, 'job_description', 'Job Description', s, 1.1 FROM (SELECT job_id, unnest(ss) s, generate_subscripts(ss, 1) i FROM (SELECT job_id, {_sentences('description')} ss FROM j))
+ UNION ALL SELECT job_id, 2, i, CASE WHEN req THEN 'required_criterion' ELSE 'preferred_criterion' END, "label", CASE WHEN req THEN 'required' ELSE 'preferred' END || ' criterion: ' || "label" || ' (weight ' || printf('%.1f', weight) || ')', weight * CASE WHEN req THEN 2.2 ELSE 1.1 END FROM c
+ UNION ALL SELECT job_id, 3, "no", 'interview_rubric', "label", "text", w FROM j, g
+ UNION ALL SELECT job_id, 4, i * 100 + "no", 'interview_rubric', "label", replace("text", '{{}}', "label"), CASE WHEN req THEN 1.6 ELSE 1.2 END FROM c, ru WHERE keyword IS NULL OR contains(lower("label"), keyword)),
+pp AS (SELECT *, {_norm('"text"')} norm, {_norm('"label"')} tag FROM ch), tk AS (SELECT *, {_tokens('norm')} tokens FROM pp),
+st AS (SELECT job_id, count(*) n, greatest(avg(length(tokens)), 1.0) m FROM tk GROUP BY 1), {_ASKED}, qt AS (SELECT query_id, unnest(list_distinct(toks)) term FROM q),
+df AS (SELECT job_id, term, count(*) FILTER (list_contains(tokens, term)) df FROM tk, (SELECT DISTINCT term FROM qt) GROUP BY ALL),
+e AS (SELECT tk.job_id, tk.a, tk.b, tk."text", qt.query_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) idf, term IN ({', '.join(map(_quote, TECHNICAL))}) tech, length(list_filter(tokens, lambda x: x = term)) tf0, contains(norm, term) sub, length(tokens) len, m, term = tag OR list_contains(string_split(tag, ' '), term) lab FROM tk JOIN st USING (job_id), qt JOIN df USING (term) WHERE df.job_id = tk.job_id),
+f AS (SELECT *, CASE WHEN tf0 > 0 THEN tf0 WHEN sub THEN 1 ELSE 0 END tf, tf0 > 0 OR (length(term) >= 3 AND sub) hit FROM e),
+h AS (SELECT job_id, a, b, "text", query_id, sum(idf * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * len / m)) * CASE WHEN tech THEN 2.0 ELSE 1.0 END) + 1.5 * count(*) FILTER (hit AND tech) base, count(*) FILTER (hit) matched, bool_or(lab) lab FROM f GROUP BY ALL),
+s AS (SELECT h.*, tk.source_type, tk."label", round((base + CASE WHEN length(toks) < 2 THEN 0.0 WHEN contains(norm, array_to_string(toks, ' ')) THEN 4.0 * length(toks) WHEN contains(norm, normal) THEN 3.5 * length(toks) ELSE 1.8 * length(list_filter(range(1, length(toks)), lambda i: contains(norm, toks[i] || ' ' || toks[i + 1]))) END
+ + CASE WHEN lab THEN 2.5 ELSE 0.0 END) * sw * CASE WHEN intent = tk.source_type THEN 1.8 ELSE 1.0 END, 4) score FROM h JOIN tk USING (job_id, a, b, "text") JOIN q USING (query_id) WHERE matched > 0),
+d AS (SELECT * FROM s WHERE score > 0.01 QUALIFY row_number() OVER (PARTITION BY job_id, query_id, regexp_replace(lower("text"), '[^\p{{L}}\p{{N}}_]+', '', 'g') ORDER BY score DESC, a, b, "text") = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY job_id, query_id ORDER BY score DESC, a, b, "text") rank FROM d)
+SELECT job_id, query_id, CAST(rank AS INT) "rank", source_type, "label", "text", score, matched FROM r WHERE rank <= 5"""
+
+
+@query("bm25_topk", _RETRIEVED)
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The ten best sentences of the job descriptions for each question."""
-    chunks, queries = _corpus(spark, d)
+    """The five best chunks of every job for each question, from all its sources."""
+    top = R.retrieve(_chunks(spark, d), QUESTIONS, TECHNICAL)
+    return top.select("job_id", "query_id", "rank", "source_type", "label", "text", "score", F.size("matched").cast("bigint").alias("matched"))
+
+
+def _described(spark: SparkSession, d: str) -> DataFrame:
+    return R.sentence_chunks(table(spark, d, "jobs").select("id", "description").distinct(), "id", "description")
+
+
+def _questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(q.id, q.text) for q in QUESTIONS], "query_id string, text string")
+
+
+@query("index_bm25", f"""WITH {_DESCRIBED}, q AS (SELECT * FROM (VALUES {', '.join(f"({_quote(q.id)}, [{', '.join(map(_quote, q.tokens if set(q.tokens) - set(T.STOP_WORDS) else []))}]::VARCHAR[])" for q in QUESTIONS)}) v(query_id, toks)),
+n AS (SELECT count(*) n, avg(length(tokens)) m FROM tok), qt AS (SELECT query_id, unnest(list_distinct(toks)) term FROM q), e AS (SELECT id, chunk_no, length(tokens) len, term, query_id, length(list_filter(tokens, lambda x: x = term)) tf FROM tok, qt),
+df AS (SELECT term, count(DISTINCT (id, chunk_no)) df FROM e WHERE tf > 0 GROUP BY 1),
+s AS (SELECT query_id, id, chunk_no, CAST(sum(CAST(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * len / m)) * CASE WHEN term = 'python' THEN 2.0 ELSE 1.0 END + CASE WHEN term = 'python' THEN 1.5 ELSE 0.0 END AS DECIMAL(24,12))) AS DOUBLE) score, count(*) matched FROM e JOIN df USING (term), n WHERE tf > 0 GROUP BY ALL)
+SELECT query_id, id, chunk_no, round(score, 6) score, matched, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id, chunk_no) AS INT) "rank" FROM s QUALIFY "rank" <= 10""")
+def index_bm25(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best sentences of all job descriptions for each question, by an inverted index."""
+    chunks = _described(spark, d)
     stats = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.tokenize(F.col("text"), T.STOP_WORDS))).alias("m")).first()
-    index = R.postings(chunks, ["id", "chunk_no"])
-    return R.bm25(index, queries, ["id", "chunk_no"], stats.n, stats.m or 1.0, ["python"])
+    return R.bm25(R.postings(chunks, ["id", "chunk_no"]), _questions(spark), ["id", "chunk_no"], stats.n, stats.m or 1.0, ["python"]).withColumn("score", F.round("score", 6))
 
 
-@query("idf_table")
+@query("idf_table", f"WITH {_DESCRIBED} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) idf FROM (SELECT term, count(*) df FROM (SELECT DISTINCT id, chunk_no, unnest(tokens) term FROM tok) GROUP BY 1), (SELECT count(*) n FROM tok)")
 def idf_table(spark: SparkSession, d: str) -> DataFrame:
-    chunks, _ = _corpus(spark, d)
-    return R.idf(R.postings(chunks, ["id", "chunk_no"]), chunks.count())
+    chunks = _described(spark, d)
+    return R.idf(R.postings(chunks, ["id", "chunk_no"]), chunks.count()).withColumn("idf", F.round("idf", 9))
 
 
-@query("overlap_topk")
+@query("overlap_topk", f"""WITH {_DESCRIBED}, q AS (SELECT * FROM (VALUES {', '.join(f"({_quote(q.id)}, [{', '.join(map(_quote, q.tokens if set(q.tokens) - set(T.STOP_WORDS) else []))}]::VARCHAR[])" for q in QUESTIONS)}) v(query_id, toks))
+SELECT query_id, id, chunk_no, CAST(n AS BIGINT) overlap, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC, id, chunk_no) AS INT) "rank" FROM (SELECT query_id, id, chunk_no, length(list_intersect(tokens, toks)) n FROM tok, q) WHERE n > 0 QUALIFY "rank" <= 5""")
 def overlap_topk(spark: SparkSession, d: str) -> DataFrame:
-    chunks, queries = _corpus(spark, d)
-    return R.overlap_rank(chunks, queries, ["id", "chunk_no"])
+    return R.overlap_rank(_described(spark, d), _questions(spark), ["id", "chunk_no"])

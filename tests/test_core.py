@@ -181,3 +181,24 @@ def test_live_texts(spark):
     long = "filler " * 80 + "python here " + "filler " * 80 + "docker there " + "filler " * 80
     x = one(spark, long, lambda c: T.redact_for_evidence(c, profile="live", focus=F.array(F.lit("python"), F.lit("docker"))))
     assert len(x) <= 700 and "python" in x and "docker" in x and " … " in x
+
+
+def test_retrieval_of_a_job(spark):
+    jobs = spark.createDataFrame([("j", "Engineer", "Data", "Builds FastAPI services in Python. Reviews budgets."), ("j", "Engineer", "Data", "Builds FastAPI services in Python. Reviews budgets."), ("e", None, "", None)], "id string, title string, department string, description string")
+    crit = spark.createDataFrame([("j", 0, "Python", "required", 2.0), ("j", 1, "Budget", "preferred", None), ("j", 2, " ", "required", 1.0)], "job_id string, position int, label string, type string, weight double")
+    guides = spark.createDataFrame([(0, "Wajib: the same questions for all.", "Structured", 1.3)], "no int, text string, label string, source_weight double")
+    rubrics = spark.createDataFrame([(0, "python", "Rubric: tests in Python."), (1, None, "Rubric ({}): a real case.")], "no int, keyword string, text string")
+    custom = spark.createDataFrame([("j", "Policy", "Python is reviewed twice.", None)], "job_id string, label string, text string, source_weight double")
+    chunks = R.job_chunks(jobs, crit, guides, rubrics, custom)
+    assert {(x.job_id, x.source_type): x.n for x in chunks.groupBy("job_id", "source_type").agg(F.count("*").alias("n")).collect()} == {
+        ("j", "position_meta"): 1, ("j", "job_description"): 2, ("j", "required_criterion"): 1, ("j", "preferred_criterion"): 1, ("j", "interview_rubric"): 4, ("e", "interview_rubric"): 1, ("j", "custom_knowledge"): 1,
+    }
+    q = (R.Query("a", "wajib Python"), R.Query("b", "fast"), R.Query("c", "the of"), R.Query("d", " ?! "))
+    got = {}
+    for x in R.retrieve(chunks, q, ("python",)).collect():
+        got.setdefault((x.job_id, x.query_id), []).append((x.rank, x.source_type, x.matched))
+    top = sorted(got["j", "a"])
+    assert len(top) <= 5 and top[0][1] == "required_criterion" and top[0][2] == ["python"]
+    assert sorted(got["j", "b"]) == [(1, "job_description", ["fast"])]  # within a longer word
+    assert ("e", "a") in got and not [k for k in got if k[1] == "d"]
+    assert R.retrieve(chunks, (R.Query("d", ""),)).count() == 0 and R.retrieve(chunks.limit(0), q).count() == 0
