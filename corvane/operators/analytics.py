@@ -252,17 +252,20 @@ def largest_remainder(counts: DataFrame, keys: Sequence[str], category: str, n:
     return a.select(*keys, category, n, (F.col("__f") + F.when(place <= F.col("__left"), 1).otherwise(0)).alias("units"))
 
 
-def score_distribution(candidates: DataFrame, keys: Sequence[str] = ("job_id",)) -> DataFrame:
+def score_distribution(candidates: DataFrame, group: str = "job_id") -> DataFrame:
     """n, min, max, mean, median, sample deviation (0 for one value), 90th percentile and buckets of the scores."""
+    from corvane.operators.positions import quantiles
+
     s = scored(candidates).where("score is not null")
     dev = F.when(F.count("score") > 1, F.stddev_samp("score")).otherwise(0.0)
     edges = ((80, None), (60, 80), (40, 60), (20, 40), (None, 20))
     within = lambda lo, hi: (F.col("score") >= lo if lo is not None else F.lit(True)) & (F.col("score") < hi if hi is not None else F.lit(True))
-    return s.groupBy(*keys).agg(
+    per = s.groupBy(group).agg(
         F.count("score").alias("n"), F.min("score").alias("min"), F.max("score").alias("max"), (exact_sum(F.col("score")) / F.count("score")).alias("mean"),
-        F.median("score").alias("median"), F.round(dev, 6).alias("stdev"), F.percentile("score", F.lit(0.9)).alias("p90"),
-        *[F.count_if(within(lo, hi)).alias(f"from_{lo or 0}") for lo, hi in edges],
+        F.round(dev, 6).alias("stdev"), *[F.count_if(within(lo, hi)).alias(f"from_{lo or 0}") for lo, hi in edges],
     )
+    q = quantiles(s, group, "score", {"median": 0.5, "p90": 0.9}).withColumnRenamed(group, "__k")
+    return per.join(q, F.col(group).eqNullSafe(F.col("__k"))).select(group, "n", "min", "max", "mean", "median", "stdev", "p90", *[f"from_{lo or 0}" for lo, _ in edges])
 
 
 def comparison_divergence(evidence: DataFrame) -> DataFrame:

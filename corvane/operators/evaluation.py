@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import unicodedata
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corvane.operators.analytics import cohen_kappa
+from corvane.operators.positions import positions, quantiles
 
 LEAST_CANDIDATES = 5  # distinct candidates below which a value is withheld
 
@@ -81,40 +90,127 @@ def locator_violations(rows: DataFrame) -> DataFrame:
     return rows.withColumn("violation", code).where("violation is not null")
 
 
-def kendall_tau_b(ranks: DataFrame, group: str, item: str, left: str, right: str) -> DataFrame:
-    """Kendall's tau-b per group: pairs, tau; null where undefined.
+def _agreeing(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> int:
+    """Concordant minus discordant pairs of weighted points with different (x, y); ties in either count in neither.
 
-    Ranks are integers, so a group is reduced to counts per (left, right) first; the pairs of distinct rank cells
-    are compared, not the pairs of items: a group of any size costs the square of its distinct cells.
+    A merge sort whose levels are array operations: sorted by x and y, every right half is looked up in its left one.
+    """
+    order = np.lexsort((y, x))
+    x, n = x[order], n[order].astype(np.int64)
+    rank = np.unique(y[order], return_inverse=True)[1].astype(np.int64)
+    top, m, total, width = int(rank.max()) + 1 if len(rank) else 1, len(x), 0, 1
+    at = np.arange(m)
+    while width < m:
+        block, left = at // (2 * width), (at // width) % 2 == 0
+        key = block * top + rank
+        lk = np.sort(key[left])
+        cum = np.concatenate([[0], np.cumsum(n[left][np.argsort(key[left], kind="stable")])])
+        r, b = key[~left], block[~left] * top
+        lo, hi = cum[np.searchsorted(lk, r, "left")], cum[np.searchsorted(lk, r, "right")]
+        first, end = cum[np.searchsorted(lk, b, "left")], cum[np.searchsorted(lk, b + top, "left")]
+        total += int((n[~left] * ((lo - first) - (end - hi))).sum())
+        width *= 2
+    # pairs of equal x came out as concordant, as they are sorted by y
+    per = np.bincount(np.unique(x, return_inverse=True)[1], n).astype(np.int64) if m else np.zeros(0, np.int64)
+    return total - (int((per * per).sum()) - int((n * n).sum())) // 2
+
+
+def kendall_tau_b(ranks: DataFrame, group: str, item: str, left: str, right: str, bucket: int = 4096) -> DataFrame:
+    """Kendall's tau-b per group: items, tau; null where undefined. Rows with a null are left out.
+
+    Ranks are positive integers. They are cut into buckets of ``bucket`` ranks on either side; pairs that share no bucket are counted
+    among the buckets, those that share one or both within these. So no task holds a whole group, however large.
     """
-    cells = ranks.dropna(subset=[group, left, right]).groupBy(group, F.col(left).alias("l"), F.col(right).alias("r")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    order_ = Window.partitionBy(group).orderBy("l").rangeBetween(Window.unboundedPreceding, -1)
-    below = F.collect_list(F.struct("r", "n")).over(order_)
-    add = lambda f: F.aggregate("below", F.lit(0.0), lambda a, x: a + F.when(f(x), x["n"]).otherwise(0.0)) * F.col("n")
-    pairs = cells.withColumn("below", below).select(group, "l", "r", "n", add(lambda x: x["r"] < F.col("r")).alias("c"), add(lambda x: x["r"] > F.col("r")).alias("d"))
+    cells = ranks.dropna(subset=[group, left, right]).groupBy(F.col(group).alias("g"), F.col(left).cast("bigint").alias("l"), F.col(right).cast("bigint").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    lb, rb = F.floor(F.col("l") / bucket), F.floor(F.col("r") / bucket)
+    none = F.lit(-1).cast("bigint")
+    view = lambda a, b, x, y: F.struct(a.alias("a"), b.alias("b"), x.alias("x"), y.alias("y"))
+    views = F.array(view(none, none, lb, rb), view(lb, none, F.col("l"), rb), view(none, rb, lb, F.col("r")), view(lb, rb, F.col("l"), F.col("r")))
+    points = cells.select("g", F.posexplode(views).alias("v", "p"), "n").groupBy("g", "v", "p.a", "p.b", "p.x", "p.y").agg(F.sum("n").alias("n"))
+    kind = cells.schema["g"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        if t.num_rows:
+            d = _agreeing(*(t[c].to_numpy() for c in ("x", "y", "n")))
+            yield pa.RecordBatch.from_arrays([pa.array([t["g"][0].as_py()], t.schema.field("g").type), pa.array([d], pa.int64())], ["g", "d"])
+
+    diff = points.groupBy("g", "v", "a", "b").applyInArrow(run, f"g {kind}, d bigint").groupBy("g").agg(F.sum("d").alias("d"))
     n2 = lambda x: x * (x - 1) / 2
-    tot = pairs.groupBy(group).agg(F.sum("c").alias("c"), F.sum("d").alias("d"), F.sum("n").alias("n"))
-    tl = cells.groupBy(group, "l").agg(F.sum("n").alias("x")).groupBy(group).agg(F.sum(n2(F.col("x"))).alias("tl"))
-    tr = cells.groupBy(group, "r").agg(F.sum("n").alias("x")).groupBy(group).agg(F.sum(n2(F.col("x"))).alias("tr"))
-    every = n2(F.col("n"))
-    root = F.sqrt((every - F.col("tl")) * (every - F.col("tr")))
-    return tot.join(tl, group).join(tr, group).select(group, F.col("n").cast("bigint").alias("n"), F.when(root > 0, (F.col("c") - F.col("d")) / root).alias("tau"))
+    tied = lambda c, name: cells.groupBy("g", c).agg(F.sum("n").alias("x")).groupBy("g").agg(F.sum(n2(F.col("x"))).alias(name))
+    every = cells.groupBy("g").agg(F.sum("n").alias("n"))
+    root = F.sqrt((n2(F.col("n")) - F.col("tl")) * (n2(F.col("n")) - F.col("tr")))
+    return every.join(diff, "g").join(tied("l", "tl"), "g").join(tied("r", "tr"), "g").select(F.col("g").alias(group), "n", F.when(root > 0, F.col("d") / root).alias("tau"))
 
 
 def top_k_overlap(ranks: DataFrame, group: str, item: str, model: str, judged: str, k: int = 5) -> DataFrame:
-    """Per group: precision and recall of the model's strict first k against the judged first k with ties; null for groups under k."""
-    sizes = Window.partitionBy(group)
-    r = ranks.select(group, item, model, judged).withColumn("__n", F.count(F.lit(1)).over(sizes))
-    m = F.row_number().over(Window.partitionBy(group).orderBy(model, item)) <= k
-    j = F.rank().over(Window.partitionBy(group).orderBy(judged)) <= k
-    c = r.withColumn("__m", m).withColumn("__j", j).groupBy(group).agg(F.max("__n").alias("n"), F.count_if(F.col("__m") & F.col("__j")).alias("both"), F.count_if("__m").alias("m"), F.count_if("__j").alias("j"))
-    return c.select(group, "n", F.when(F.col("n") >= k, F.col("both") / F.col("m")).alias("precision"), F.when(F.col("n") >= k, F.col("both") / F.col("j")).alias("recall"))
+    """Per group: precision and recall of the model's strict first k against the judged first k with ties; null for groups under k.
+
+    Only the first k of each side leave their tasks (the engine keeps k per group before the shuffle).
+    """
+    r = ranks.select(group, item, model, judged)
+    sizes = r.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    m = r.withColumn("__p", F.row_number().over(Window.partitionBy(group).orderBy(model, item))).where(F.col("__p") <= k).select(group, item, F.lit(1).alias("m"), F.lit(0).alias("j"))
+    j = r.withColumn("__p", F.rank().over(Window.partitionBy(group).orderBy(judged))).where(F.col("__p") <= k).select(group, item, F.lit(0).alias("m"), F.lit(1).alias("j"))
+    both = m.unionByName(j).groupBy(group, item).agg(F.max("m").alias("m"), F.max("j").alias("j"))
+    c = both.groupBy(group).agg(F.sum(F.col("m") * F.col("j")).alias("both"), F.sum("m").alias("m"), F.sum("j").alias("j"))
+    out = sizes.join(c, group, "left")
+    return out.select(group, "n", F.when(F.col("n") >= k, F.col("both") / F.col("m")).alias("precision"), F.when(F.col("n") >= k, F.col("both") / F.col("j")).alias("recall"))
 
 
 def competition_ranks_valid(ranks: DataFrame, group: str, rank: str) -> DataFrame:
-    """Whether the ranks of each group are of the form 1, 1, 3, …"""
-    right = F.rank().over(Window.partitionBy(group).orderBy(rank))
-    return ranks.withColumn("__r", right).groupBy(group).agg(F.count_if(F.col("__r") != F.col(rank)).alias("bad"), F.count_if(F.col(rank).isNull()).alias("null")).select(group, ((F.col("bad") == 0) & (F.col("null") == 0)).alias("valid"))
+    """Whether the ranks of each group are of the form 1, 1, 3, …: the first place of each value is the value itself."""
+    first = positions(ranks.select(group, rank), group, [F.col(rank)], "__p").groupBy(group, rank).agg(F.min("__p").alias("p"))
+    bad = F.count_if(F.col(rank).isNull() | (F.col("p") != F.col(rank)))
+    return first.groupBy(group).agg((bad == 0).alias("valid"))
+
+
+def ranking_report(ranks: DataFrame, group: str, item: str, model: str, judged: str, strata: Sequence[str] = (), k: int = 5, least: int = LEAST_CANDIDATES) -> DataFrame:
+    """Macro averages over requisitions with two items and more: field, value, groups, items, tau, precision, recall.
+
+    One row for all (field null) and one per value of each of ``strata`` (columns that are constant in a group). Values that stand for fewer than
+    ``least`` items are withheld; if that hides exactly one value of a field, the largest other (ties: the larger value) is, too.
+    """
+    per = kendall_tau_b(ranks, group, item, model, judged).where("n > 1").join(top_k_overlap(ranks, group, item, model, judged, k).drop("n"), group)
+    own = ranks.groupBy(group).agg(*[F.max(s).alias(s) for s in strata]) if strata else ranks.select(group).distinct()
+    one = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value")), *[F.struct(F.lit(s).alias("field"), F.col(s).cast("string").alias("value")) for s in strata])
+    long = per.join(own, group).select("*", F.explode(one).alias("x")).select("n", "tau", "precision", "recall", "x.*")
+    cells = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("items"), *[F.avg(c).alias(c) for c in ("tau", "precision", "recall")])
+    seen = F.col("items") >= least
+    w = Window.partitionBy("field")
+    hidden = F.count_if(~seen).over(w)
+    place = F.row_number().over(Window.partitionBy("field", seen).orderBy(F.desc("items"), F.col("value").desc_nulls_last()))
+    shown = seen & (F.col("field").isNull() | ~((hidden == 1) & (place == 1)))
+    return cells.withColumn("reported", shown).select("field", "value", "reported", *[F.when(F.col("reported"), F.col(c)).alias(c) for c in ("groups", "items", "tau", "precision", "recall")])
+
+
+def agreement_metrics(rows: DataFrame, left: str, right: str, candidate: str, least: int = LEAST_CANDIDATES) -> DataFrame:
+    """Compared rows, exact agreement and kappa (null where undefined); withheld if agreeing or disagreeing rows stand for fewer than ``least`` candidates, but some."""
+    r = rows.dropna(subset=[left, right])
+    same = F.col(left) == F.col(right)
+    c = r.agg(F.count(F.lit(1)).alias("rows"), F.count_if(same).alias("exact"), F.countDistinct(F.when(same, F.col(candidate))).alias("a"), F.countDistinct(F.when(~same, F.col(candidate))).alias("b"))
+    few = lambda x: (F.col(x) > 0) & (F.col(x) < least)
+    shown = ~(few("a") | few("b")) & (F.col("rows") > 0)
+    kappa = cohen_kappa(r, left, right, degenerate="null").select("kappa")
+    return c.crossJoin(F.broadcast(kappa)).select("rows", shown.alias("reported"), F.when(shown, F.col("exact")).alias("exact"), F.when(shown, F.col("exact") / F.col("rows")).alias("rate"), F.when(shown, F.col("kappa")).alias("kappa"))  # one row on either side
+
+
+def model_report(rows: DataFrame, actual: str, predicted: str, candidate: str, labels: Sequence[str], least: int = LEAST_CANDIDATES) -> DataFrame:
+    """Per label: support, precision, recall, F1, and the accuracy over all; labels of fewer than ``least`` candidates are withheld, and the largest other if one is."""
+    r = rows.dropna(subset=[actual, predicted])
+    people = r.groupBy(F.col(actual).alias("label")).agg(F.countDistinct(candidate).alias("candidates"))
+    every = r.sparkSession.createDataFrame([(x,) for x in labels], "label string")
+    m = every.join(label_metrics(confusion(r, actual, predicted)), "label", "left").join(people, "label", "left").na.fill(0, ["support", "candidates"])
+    seen = (F.col("candidates") >= least) | (F.col("candidates") == 0)
+    w = Window.partitionBy()  # one row per label
+    place = F.row_number().over(Window.partitionBy(seen & (F.col("candidates") > 0)).orderBy(F.desc("candidates"), F.desc("label")))
+    shown = seen & ~((F.count_if(~seen).over(w) == 1) & (place == 1) & (F.col("candidates") > 0))
+    miss = F.col(actual) != F.col(predicted)
+    few = lambda x: (F.col(x) > 0) & (F.col(x) < least)
+    acc = r.agg(F.count(F.lit(1)).alias("n"), F.count_if(~miss).alias("t"), F.countDistinct(F.when(miss, F.col(candidate))).alias("b"), F.countDistinct(F.when(~miss, F.col(candidate))).alias("a"))
+    acc = acc.select(F.when((F.col("n") > 0) & ~few("a") & ~few("b"), F.col("t") / F.col("n")).alias("accuracy"))
+    out = m.withColumn("reported", shown).crossJoin(F.broadcast(acc))  # one row
+    return out.select("label", "reported", *[F.when(F.col("reported"), F.col(c)).alias(c) for c in ("support", "precision", "recall", "f1")], "accuracy")
 
 
 def macro(per_group: DataFrame, measures: Sequence[str], n: str = "n", least: int = 2) -> DataFrame:
@@ -142,22 +238,83 @@ def blind_packet(master: DataFrame, keep: Sequence[str], seed: int, group: str |
     return master.select(*keep).orderBy(*([F.col(group)] if group else []), order_)
 
 
-def blind_labels(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column]) -> DataFrame:
+def blind_labels(df: DataFrame, group: str, order_by: Sequence[Column]) -> DataFrame:
     """A letter per row of a group, A to Z and round again, in the given order."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)) - 1
-    return df.withColumn("blind_label", F.char(F.lit(65) + n % 26))
+    placed = positions(df, group, order_by, "__p")
+    return placed.withColumn("blind_label", F.char(F.lit(65) + (F.col("__p") - 1) % 26)).drop("__p")
 
 
 def token_error(reference: Column, hypothesis: Column) -> Column:
-    """Words of a Levenshtein distance between two token arrays: (edits, reference words).
+    """Words of a Levenshtein distance between two token arrays: (edits, reference words), of any length."""
+    return _edits(reference, hypothesis)
+
+
+@F.pandas_udf(T.StructType([T.StructField("edits", T.IntegerType()), T.StructField("words", T.IntegerType())]))
+def _edits(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+    out = [(None, None) if a is None or b is None else (_distance(list(a), list(b)), len(a)) for a, b in zip(reference, hypothesis, strict=True)]
+    return pd.DataFrame(out, columns=["edits", "words"]).astype("Int32")
+
+
+def _distance(a: list[str], b: list[str]) -> int:
+    """Levenshtein distance of two lists: the rows of its table by array operations, insertions by a running minimum."""
+    codes: dict[str, int] = {}
+    x, y = (np.array([codes.setdefault(w, len(codes)) for w in ws], np.int64) for ws in (a, b))
+    row = np.arange(len(y) + 1)
+    at = np.arange(len(y) + 1)
+    for i, w in enumerate(x.tolist(), 1):
+        new = np.minimum(row[1:] + 1, row[:-1] + (y != w))
+        row = np.minimum.accumulate(np.concatenate([[i], new]) - at) + at
+    return int(row[-1])
+
 
-    The distinct tokens of a pair are mapped to characters of a private range, so that the engine's own
-    ``levenshtein`` counts words; pairs with over 6,000 distinct tokens give null.
+_WER_WORD = re.compile(r"[^\W_]+(?:[+#.][^\W_]+|[+#]+)*")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def error_tokens(text: pd.Series) -> pd.Series:
+    """Words for error rates: compatibility forms and case folded, signs of technical names kept; null has none."""
+    return text.map(lambda t: [] if t is None else _WER_WORD.findall(unicodedata.normalize("NFKC", t).casefold()))
+
+
+def corpus_error(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows (edits, words; null edits: not recognised) summed up per ``keys``: samples, complete, words, edits and micro error rate, null unless all are there."""
+    done = F.count("edits") == F.count(F.lit(1))
+    total = lambda c: F.when(done, F.sum(c))
+    agg = [F.count(F.lit(1)).alias("samples"), F.count("edits").alias("recognised"), F.when(done, "complete").otherwise("partial").alias("state"), total("words").alias("words"), total("edits").alias("edits"), F.try_divide(total("edits"), total("words")).alias("error_rate")]
+    return rows.groupBy(*keys).agg(*agg) if keys else rows.agg(*agg)
+
+
+def groundedness(evidence: DataFrame, lines: DataFrame, ident: str = "candidate_id") -> DataFrame:
+    """Positive evidence with its line: ``ident``, criterion_id, verbatim (the snippet stands in a line of the text), attributed.
+
+    Attributed is a snippet that stands on the line it names (line_no); without one, if a line holds one of its first three words.
     """
-    words = F.array_distinct(F.concat(reference, hypothesis))
-    code = lambda xs: F.array_join(F.transform(xs, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, w) + 0x3400), 4, "0")), "UTF-16BE")), "")
-    edits = F.when(F.size(words) <= 6000, F.levenshtein(code(reference), code(hypothesis)))
-    return F.struct(edits.alias("edits"), F.size(reference).alias("words"))
+    e = evidence.where(F.col("result").isin("matched", "partial")).select(ident, "criterion_id", "snippet", "line_no")
+    pairs = e.join(lines.select(F.col(ident).alias("__i"), F.col("line_no").alias("__n"), "line"), F.col(ident) == F.col("__i"), "left")
+    low, line = F.lower(F.trim(F.coalesce("snippet", F.lit("")))), F.lower(F.trim(F.regexp_replace("line", r"(?U)\s+", " ")))
+    inside = (low != "") & F.contains(line, low)
+    some = F.exists(F.slice(F.split(low, " "), 1, 3), lambda w: (w != "") & F.contains(line, w))
+    yes = lambda c: F.coalesce(F.max(c.cast("int")), F.lit(0)) == 1
+    on_line = F.when(F.col("line_no").isNotNull(), inside & (F.col("line_no") == F.col("__n"))).otherwise(some)
+    return pairs.groupBy(ident, "criterion_id").agg(yes(inside).alias("verbatim"), yes(on_line).alias("attributed"))
+
+
+def relevance_labels(df: DataFrame, category: str, primary: Sequence[str], secondary: Sequence[str]) -> DataFrame:
+    """``df`` with rel: 2 for a category of ``primary``, 1 for one of ``secondary``, else 0."""
+    c = F.coalesce(F.col(category), F.lit(""))
+    return df.withColumn("rel", F.when(c.isin(*primary), 2).when(c.isin(*secondary), 1).otherwise(0))
+
+
+def latency_summary(times: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Mean, median, 95th percentile and maximum of columns of times: measure, n, mean, median, p95, max."""
+    long = times.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
+    q = quantiles(long, "measure", "v", {"median": 0.5, "p95": 0.95})
+    return long.groupBy("measure").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.max("v").alias("max")).join(q, "measure").select("measure", "n", "mean", "median", "p95", "max")
+
+
+def inject_headers(docs: DataFrame, headers: DataFrame, text: str = "text") -> DataFrame:
+    """Every document once per header (variant, header) with it as first line, for invariance tests; ``headers`` is a short list."""
+    return docs.crossJoin(F.broadcast(headers)).withColumn(text, F.concat_ws("\n", "header", text)).drop("header")  # a stated list of variants
 
 
 def counterfactual(evidence: DataFrame, injected: DataFrame, score: Column, ident: str = "candidate_id") -> DataFrame:

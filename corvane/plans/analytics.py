@@ -14,6 +14,7 @@ from corvane.operators import evaluation as E
 from corvane.operators import matching as M
 from corvane.operators import retrieval as R
 from corvane.operators import scorecards as S
+from corvane.operators.positions import positions
 from corvane.sources import writers as W
 from corvane.session import spread, table
 
@@ -367,38 +368,49 @@ def ranking_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranks(spark: SparkSession, d: str) -> DataFrame:
-    """Integer ranks per job: by score in steps of ten, and by the grade of the newest review."""
-    g = A.relevance(table(spark, d, "candidates"), table(spark, d, "reviews").distinct()).where("score is not null")
-    return g.select("job_id", "id", (F.lit(10) - F.floor(F.col("score") / 10)).cast("int").alias("model"), (F.lit(3) - F.col("rel")).alias("judged"))
+    """True ranks 1..n of each job: the model's by the canonical order, and competition ranks by the grade of the newest review."""
+    c, grades = table(spark, d, "candidates"), A.relevance(table(spark, d, "candidates"), table(spark, d, "reviews").distinct()).where("score is not null")
+    placed = positions(grades, "job_id", [F.desc("score"), F.asc_nulls_last("at"), F.col("id")], "model")
+    n = placed.groupBy("job_id").agg(*[F.count_if(F.col("rel") > g).alias(f"above{g}") for g in (0, 1, 2)])
+    judged = F.when(F.col("rel") == 2, F.col("above2")).when(F.col("rel") == 1, F.col("above1")).otherwise(F.col("above0")) + 1
+    kinds = c.select("id", "file_type").distinct()
+    return placed.join(n, "job_id").join(kinds, "id").select("job_id", "id", "file_type", "model", judged.alias("judged"))
 
 
-_RANKS = f"""WITH {CAND}, {REV}, g AS (SELECT cand.id, job_id, CAST(10 - floor(score / 10) AS INT) model, 3 - CASE decision WHEN 'advance' THEN 2 WHEN 'needs_info' THEN 1 ELSE 0 END judged
-FROM cand LEFT JOIN lastc ON cand.id = lastc.candidate_id WHERE job_id IS NOT NULL AND score IS NOT NULL)"""
+_RANKS = f"""WITH {CAND}, {REV}, g0 AS (SELECT cand.id, job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY score DESC, "cand"."at" ASC NULLS LAST, cand.id) AS BIGINT) model, CASE decision WHEN 'advance' THEN 2 WHEN 'needs_info' THEN 1 ELSE 0 END rel
+FROM cand LEFT JOIN lastc ON cand.id = lastc.candidate_id WHERE job_id IS NOT NULL AND score IS NOT NULL), g AS (SELECT id, job_id, model, CAST(rank() OVER (PARTITION BY job_id ORDER BY rel DESC) AS BIGINT) judged FROM g0)"""
+_TAU = """, cd AS (SELECT a.job_id, sum(CASE WHEN b.judged < a.judged THEN 1 ELSE 0 END) c, sum(CASE WHEN b.judged > a.judged THEN 1 ELSE 0 END) d FROM g a JOIN g b ON a.job_id = b.job_id AND b.model < a.model GROUP BY 1),
+tt AS (SELECT job_id, count(*)::DOUBLE n FROM g GROUP BY 1), tr AS (SELECT job_id, sum(x * (x - 1) / 2) v FROM (SELECT job_id, judged, count(*)::DOUBLE x FROM g GROUP BY ALL) GROUP BY 1),
+tau AS (SELECT tt.job_id, CAST(n AS BIGINT) n, CASE WHEN (n * (n - 1) / 2) * (n * (n - 1) / 2 - tr.v) > 0 THEN (coalesce(c, 0) - coalesce(d, 0)) / sqrt((n * (n - 1) / 2) * (n * (n - 1) / 2 - tr.v)) END tau FROM tt JOIN tr USING (job_id) LEFT JOIN cd USING (job_id)),
+rk AS (SELECT *, count(*) OVER (PARTITION BY job_id) n, model <= 5 m, judged <= 5 j FROM g),
+tk AS (SELECT job_id, max(n) n, CASE WHEN max(n) >= 5 THEN CAST(count(*) FILTER (m AND j) AS DOUBLE) / count(*) FILTER (m) END "precision", CASE WHEN max(n) >= 5 THEN CAST(count(*) FILTER (m AND j) AS DOUBLE) / count(*) FILTER (j) END recall FROM rk GROUP BY 1)"""
 
 
-@query("kendall_tau", _RANKS + """, c AS (SELECT job_id, model l, judged r, count(*)::DOUBLE n FROM g GROUP BY ALL),
-cd AS (SELECT a.job_id, sum(CASE WHEN b.r < a.r THEN a.n * b.n ELSE 0 END) c, sum(CASE WHEN b.r > a.r THEN a.n * b.n ELSE 0 END) d FROM c a JOIN c b ON a.job_id = b.job_id AND b.l < a.l GROUP BY 1),
-t AS (SELECT job_id, sum(n) n FROM c GROUP BY 1), tl AS (SELECT job_id, sum(x * (x - 1) / 2) v FROM (SELECT job_id, l, sum(n) x FROM c GROUP BY ALL) GROUP BY 1), tr AS (SELECT job_id, sum(x * (x - 1) / 2) v FROM (SELECT job_id, r, sum(n) x FROM c GROUP BY ALL) GROUP BY 1)
-SELECT t.job_id, CAST(n AS BIGINT) n, round(CASE WHEN (n * (n - 1) / 2 - tl.v) * (n * (n - 1) / 2 - tr.v) > 0 THEN (coalesce(c, 0) - coalesce(d, 0)) / sqrt((n * (n - 1) / 2 - tl.v) * (n * (n - 1) / 2 - tr.v)) END, 9) tau FROM t JOIN tl USING (job_id) JOIN tr USING (job_id) LEFT JOIN cd USING (job_id)""")
+@query("kendall_tau", _RANKS + _TAU + " SELECT job_id, n, round(tau, 9) tau FROM tau")
 def kendall_tau(spark: SparkSession, d: str) -> DataFrame:
     return E.kendall_tau_b(_ranks(spark, d), "job_id", "id", "model", "judged").withColumn("tau", F.round("tau", 9))
 
 
-@query("top_k_overlap", _RANKS + """, r AS (SELECT *, count(*) OVER (PARTITION BY job_id) n, row_number() OVER (PARTITION BY job_id ORDER BY model, id) <= 5 m, rank() OVER (PARTITION BY job_id ORDER BY judged) <= 5 j FROM g)
-SELECT job_id, max(n) n, CASE WHEN max(n) >= 5 THEN CAST(count(*) FILTER (m AND j) AS DOUBLE) / count(*) FILTER (m) END "precision", CASE WHEN max(n) >= 5 THEN CAST(count(*) FILTER (m AND j) AS DOUBLE) / count(*) FILTER (j) END recall FROM r GROUP BY 1""")
+@query("top_k_overlap", _RANKS + _TAU + ' SELECT job_id, n, "precision", recall FROM tk')
 def top_k_overlap(spark: SparkSession, d: str) -> DataFrame:
     return E.top_k_overlap(_ranks(spark, d), "job_id", "id", "model", "judged")
 
 
-@query("competition_ranks", _RANKS + """, r AS (SELECT *, rank() OVER (PARTITION BY job_id ORDER BY judged) k FROM g) SELECT job_id, bool_and(k = judged) "valid" FROM r GROUP BY 1""")
+@query("competition_ranks", _RANKS + ' SELECT DISTINCT job_id, true "valid" FROM g')
 def competition_ranks(spark: SparkSession, d: str) -> DataFrame:
     return E.competition_ranks_valid(_ranks(spark, d), "job_id", "judged")
 
 
+@query("ranking_macro", _RANKS + _TAU + """ SELECT CAST(NULL AS VARCHAR) field, CAST(NULL AS VARCHAR) "value", true reported, count(*) "groups", CAST(sum(tau.n) AS BIGINT) items, round(avg(tau), 9) tau, round(avg("precision"), 9) "precision", round(avg(recall), 9) recall FROM tau JOIN tk USING (job_id) WHERE tau.n > 1""")
+def ranking_macro(spark: SparkSession, d: str) -> DataFrame:
+    """Tau and overlap averaged over the jobs, each with equal weight."""
+    return E.ranking_report(_ranks(spark, d), "job_id", "id", "model", "judged").select("field", "value", "reported", "groups", "items", *[F.round(c, 9).alias(c) for c in ("tau", "precision", "recall")])
+
+
 @query("blind_labels", f"""WITH {CAND} SELECT job_id, id, chr(CAST(65 + (row_number() OVER (PARTITION BY job_id ORDER BY score DESC NULLS LAST, "at" ASC NULLS LAST, id) - 1) % 26 AS INT)) blind_label FROM cand""")
 def blind_labels(spark: SparkSession, d: str) -> DataFrame:
     c = A.scored(table(spark, d, "candidates"))
-    return E.blind_labels(c, ["job_id"], [F.desc_nulls_last("score"), F.asc_nulls_last("at"), F.col("id")]).select("job_id", "id", "blind_label")
+    return E.blind_labels(c, "job_id", [F.desc_nulls_last("score"), F.asc_nulls_last("at"), F.col("id")]).select("job_id", "id", "blind_label")
 
 
 # ---- scorecards
@@ -466,14 +478,14 @@ def model_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _strata_sql(order: str) -> str:
-    return f"""WITH {_ANN}, u AS (SELECT candidate_id, rl = hl same, unnest([{{'f': 'job_family', 'v': job_family}}, {{'f': 'source_format', 'v': source_format}}, {{'f': 'criteria_version', 'v': criteria_version}}], recursive := true) FROM ann),
+    return f"""WITH {_ANN}, u AS (SELECT candidate_id, rl = hl same, unnest([{{'f': 'job_family', 'v': job_family}}, {{'f': 'source_format', 'v': source_format}}, {{'f': 'criteria_version', 'v': criteria_version}}, {{'f': 'cv_language', 'v': cv_language}}], recursive := true) FROM ann),
 g AS (SELECT f field, v "value", count(DISTINCT candidate_id) candidates, count(*) n, count(*) FILTER (same) agree FROM u GROUP BY ALL), h AS (SELECT *, count(*) FILTER (candidates < 5) OVER (PARTITION BY field) hid, row_number() OVER (PARTITION BY field, candidates >= 5 ORDER BY candidates {order}, "value" DESC NULLS LAST) p FROM g),
 s AS (SELECT *, candidates >= 5 AND NOT (hid = 1 AND p = 1) reported FROM h) SELECT field, "value", reported, CASE WHEN reported THEN candidates END candidates, CASE WHEN reported THEN n END n, CASE WHEN reported THEN agree END agree FROM s"""
 
 
 def _strata(spark: SparkSession, d: str, hide: str) -> DataFrame:
     m = {"n": F.count(F.lit(1)), "agree": F.count_if(F.col("rl") == F.col("hl"))}
-    return E.stratified(_annotations(spark, d), ["job_family", "source_format", "criteria_version"], "candidate_id", m, hide=hide)
+    return E.stratified(_annotations(spark, d), ["job_family", "source_format", "criteria_version", "cv_language"], "candidate_id", m, hide=hide)
 
 
 @query("strata_hide_smallest", _strata_sql("ASC").replace("rl = hl same", f"rl {_IN} AND rl = hl same"))
