@@ -64,13 +64,13 @@ def jobs_with_counts(jobs: DataFrame, candidates: DataFrame) -> DataFrame:
     return jobs.select(F.col("id").alias("job_id"), "title").distinct().join(n, "job_id", "left").select("job_id", "title", F.coalesce("n", F.lit(0)).alias("n_candidates"))
 
 
-def latest_reviews(reviews: DataFrame, by_role: bool = True) -> DataFrame:
-    """The newest review of each candidate (and role): reviewer, decision, at. Equal times go to the larger id."""
-    r = reviews.select("id", "candidate_id", normalize_role(F.col("role")).alias("role"), "reviewer", "decision", instant(F.col("created_at")).alias("at"))
+def latest_reviews(reviews: DataFrame, by_role: bool = True, note: bool = False) -> DataFrame:
+    """The newest review of each candidate (and role): reviewer, decision, at, and its ``note`` if asked for. Equal times go to the larger id."""
+    r = reviews.select("id", "candidate_id", normalize_role(F.col("role")).alias("role"), "reviewer", "decision", instant(F.col("created_at")).alias("at"), *[F.trim("note").alias("note")] * note)
     keys = ["candidate_id", "role"] if by_role else ["candidate_id"]
-    last = F.max_by(F.struct("role", "reviewer", "decision", "at"), F.struct("at", "id")).alias("x")
+    last = F.max_by(F.struct("role", "reviewer", "decision", "at", *["note"] * note), F.struct("at", "id")).alias("x")
     out = r.groupBy(*keys).agg(last)
-    return out.select("candidate_id", "x.role", "x.reviewer", "x.decision", "x.at")
+    return out.select("candidate_id", "x.role", "x.reviewer", "x.decision", "x.at", *["x.note"] * note)
 
 
 def role_pairs(reviews: DataFrame) -> DataFrame:

@@ -331,12 +331,6 @@ def joined_notes(spark: SparkSession, d: str) -> DataFrame:
     return W.joined_notes(table(spark, d, "reviews"))
 
 
-@query("job_reports")
-def job_reports(spark: SparkSession, d: str) -> DataFrame:
-    """One nested JSON report per job."""
-    return W.job_reports(table(spark, d, "jobs"), table(spark, d, "candidates"), table(spark, d, "evidence"))
-
-
 _CRIT = """RECURSIVE t(row_id, p, v) AS (SELECT id, '$', CAST(criteria_json AS JSON) FROM jobs WHERE json_valid(criteria_json) UNION SELECT row_id, p, w FROM (
   SELECT row_id, p, CAST(v ->> '$' AS JSON) w FROM t WHERE json_type(v) = 'VARCHAR' AND json_valid(v ->> '$')
   UNION ALL SELECT row_id, '$.criteria', json_extract(v, '$.criteria') FROM t WHERE p = '$' AND json_type(v) = 'OBJECT' AND list_contains(json_keys(v), 'criteria'))),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans import analytics, records
+from corvane.plans import analytics, records, reports  # noqa: F401  (reports adds to the queries of analytics)
 
 QUERIES = {**analytics.QUERIES, **records.QUERIES}
 ORACLES = {**analytics.ORACLES, **records.ORACLES}

@@ -14,17 +14,6 @@ def export_csv(df: DataFrame, path: str, order: Sequence[Column] = (), single: b
     (out.coalesce(1) if single else out).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
-def job_reports(jobs: DataFrame, candidates: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One JSON document per job: its candidates in canonical order, each with its evidence by weight."""
-    e = evidence.select("candidate_id", F.struct((-F.col("weight")).alias("o"), "criterion", "criterion_id", "result", "weight", "snippet", "page_number").alias("e")).distinct()
-    per = e.groupBy("candidate_id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda x: x.dropFields("o")).alias("evidence"))
-    c = candidates.select("id", "job_id", "score", "status", "created_at").distinct().join(per, F.col("id") == F.col("candidate_id"), "left").drop("candidate_id")
-    key = F.struct((-F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0))).alias("o"), "created_at", "id", "score", "status", "evidence")
-    groups = c.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.dropFields("o")).alias("candidates"))
-    j = jobs.select(F.col("id").alias("job_id"), "title", "department").distinct()
-    return j.join(groups, "job_id", "left").select("job_id", F.to_json(F.struct("job_id", "title", "department", "candidates")).alias("report"))
-
-
 def joined_notes(reviews: DataFrame, separator: str = " | ") -> DataFrame:
     """The non-blank notes of each candidate, newest first, as one text."""
     n = reviews.where("trim(note) <> ''").select("candidate_id", F.struct("created_at", "id", "note").alias("x")).distinct()
