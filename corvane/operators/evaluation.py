@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from corvane.operators.analytics import cohen_kappa
 from corvane.operators.positions import positions, quantiles
 
+CITING = ("matched", "partial", "needs_verification")  # fixed values: results that should name their evidence
 LEAST_CANDIDATES = 5  # distinct candidates below which a value is withheld
 
 
@@ -67,7 +68,7 @@ def stratified(rows: DataFrame, strata: Sequence[str], candidate: str, measures:
 
 def locator_report(rows: DataFrame) -> DataFrame:
     """Rows of annotations that should name their evidence: expected, present, missing and the rate."""
-    expects = F.col("model_result").isin("matched", "partial")
+    expects = F.col("model_result").isin(*CITING)
     has = (F.trim(F.coalesce("model_evidence_ref", F.lit(""))) != "") | (F.trim(F.coalesce("model_evidence_page", F.lit(""))) != "")
     c = rows.agg(F.count_if(expects).alias("expected"), F.count_if(expects & has).alias("present"))
     return c.select("expected", "present", (F.col("expected") - F.col("present")).alias("missing"), F.try_divide("present", "expected").alias("rate"))
@@ -76,7 +77,7 @@ def locator_report(rows: DataFrame) -> DataFrame:
 def citation_report(rows: DataFrame, label: str = "adjudicated_reference_label") -> DataFrame:
     """Validity valid/(valid+incorrect) and coverage valid/(valid+incorrect+missing) of rows that should cite."""
     x = F.lower(F.trim(label))
-    c = rows.where(F.col("model_result").isin("matched", "partial")).agg(*[F.count_if(x == v).alias(v) for v in ("valid", "incorrect", "missing")])
+    c = rows.where(F.col("model_result").isin(*CITING)).agg(*[F.count_if(x == v).alias(v) for v in ("valid", "incorrect", "missing")])
     both = F.col("valid") + F.col("incorrect")
     return c.select("valid", "incorrect", "missing", F.try_divide("valid", both).alias("validity"), F.try_divide("valid", both + F.col("missing")).alias("coverage"))
 
@@ -225,13 +226,6 @@ def roster_difference(master: DataFrame, packet: DataFrame, keys: Sequence[str])
     return a.join(b, k, "full_outer").where("__a is null or __b is null").select(*k, F.when(F.col("__b").isNull(), "master").otherwise("packet").alias("side"))
 
 
-def merge_packets(master: DataFrame, recruiter: DataFrame, manager: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The master with both roles' labels; rows are those of the master."""
-    k = list(keys)
-    one = lambda df, role: df.groupBy(*k).agg(F.max_by("reviewer_label", F.struct("labelled_at", "annotator")).alias(f"{role}_label"), F.max_by("reference_label", F.struct("labelled_at", "annotator")).alias(f"{role}_reference_label"))
-    return master.join(one(recruiter, "recruiter"), k, "left").join(one(manager, "hiring_manager"), k, "left")
-
-
 def blind_packet(master: DataFrame, keep: Sequence[str], seed: int, group: str | None = None) -> DataFrame:
     """``keep`` columns in an order that tells nothing: by a keyed hash, within ``group`` if given."""
     order_ = F.sha2(F.concat_ws("\u001f", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keep]), 256)

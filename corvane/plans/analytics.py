@@ -12,7 +12,9 @@ from corvane.functions.instants import instant
 from corvane.operators import analytics as A
 from corvane.operators import evaluation as E
 from corvane.operators import matching as M
+from corvane.operators import packets as K
 from corvane.operators import retrieval as R
+from corvane.operators import roles as O
 from corvane.operators import scorecards as S
 from corvane.operators.positions import positions
 from corvane.sources import writers as W
@@ -472,14 +474,14 @@ def model_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _strata_sql(order: str) -> str:
-    return f"""WITH {_ANN}, u AS (SELECT candidate_id, rl = hl same, unnest([{{'f': 'job_family', 'v': job_family}}, {{'f': 'source_format', 'v': source_format}}, {{'f': 'criteria_version', 'v': criteria_version}}, {{'f': 'cv_language', 'v': cv_language}}], recursive := true) FROM ann),
+    return f"""WITH {_ANN}, u AS (SELECT candidate_id, rl = hl same, unnest([{{'f': 'job_family', 'v': job_family}}, {{'f': 'source_format', 'v': source_format}}, {{'f': 'criterion_id', 'v': criterion_id}}, {{'f': 'cv_language', 'v': cv_language}}], recursive := true) FROM ann),
 g AS (SELECT f field, v "value", count(DISTINCT candidate_id) candidates, count(*) n, count(*) FILTER (same) agree FROM u GROUP BY ALL), h AS (SELECT *, count(*) FILTER (candidates < 5) OVER (PARTITION BY field) hid, row_number() OVER (PARTITION BY field, candidates >= 5 ORDER BY candidates {order}, "value" DESC NULLS LAST) p FROM g),
 s AS (SELECT *, candidates >= 5 AND NOT (hid = 1 AND p = 1) reported FROM h) SELECT field, "value", reported, CASE WHEN reported THEN candidates END candidates, CASE WHEN reported THEN n END n, CASE WHEN reported THEN agree END agree FROM s"""
 
 
 def _strata(spark: SparkSession, d: str, hide: str) -> DataFrame:
     m = {"n": F.count(F.lit(1)), "agree": F.count_if(F.col("rl") == F.col("hl"))}
-    return E.stratified(_annotations(spark, d), ["job_family", "source_format", "criteria_version", "cv_language"], "candidate_id", m, hide=hide)
+    return E.stratified(_annotations(spark, d), ["criterion_id", "job_family", "cv_language", "source_format"], "candidate_id", m, hide=hide)
 
 
 @query("strata_hide_smallest", _strata_sql("ASC").replace("rl = hl same", f"rl {_IN} AND rl = hl same"))
@@ -492,13 +494,13 @@ def strata_hide_largest(spark: SparkSession, d: str) -> DataFrame:
     return _strata(spark, d, "largest")
 
 
-@query("locator_report", f"""WITH {_ANN}, x AS (SELECT count(*) FILTER (model_result IN ('matched', 'partial')) expected, count(*) FILTER (model_result IN ('matched', 'partial') AND (trim(coalesce(model_evidence_ref, '')) <> '' OR trim(coalesce(model_evidence_page, '')) <> '')) present FROM ann)
+@query("locator_report", f"""WITH {_ANN}, x AS (SELECT count(*) FILTER (model_result IN ('matched', 'partial', 'needs_verification')) expected, count(*) FILTER (model_result IN ('matched', 'partial', 'needs_verification') AND (trim(coalesce(model_evidence_ref, '')) <> '' OR trim(coalesce(model_evidence_page, '')) <> '')) present FROM ann)
 SELECT expected, present, expected - present missing, CAST(present AS DOUBLE) / nullif(expected, 0) rate FROM x""")
 def locator_report(spark: SparkSession, d: str) -> DataFrame:
     return E.locator_report(_annotations(spark, d))
 
 
-@query("citation_report", f"""WITH {_ANN}, x AS (SELECT count(*) FILTER (lower(trim(adjudicated_reference_label)) = 'valid') "valid", count(*) FILTER (lower(trim(adjudicated_reference_label)) = 'incorrect') incorrect, count(*) FILTER (lower(trim(adjudicated_reference_label)) = 'missing') missing FROM ann WHERE model_result IN ('matched', 'partial'))
+@query("citation_report", f"""WITH {_ANN}, x AS (SELECT count(*) FILTER (lower(trim(adjudicated_reference_label)) = 'valid') "valid", count(*) FILTER (lower(trim(adjudicated_reference_label)) = 'incorrect') incorrect, count(*) FILTER (lower(trim(adjudicated_reference_label)) = 'missing') missing FROM ann WHERE model_result IN ('matched', 'partial', 'needs_verification'))
 SELECT *, CAST("valid" AS DOUBLE) / nullif("valid" + incorrect, 0) validity, CAST("valid" AS DOUBLE) / nullif("valid" + incorrect + missing, 0) coverage FROM x""")
 def citation_report(spark: SparkSession, d: str) -> DataFrame:
     return E.citation_report(_annotations(spark, d))
@@ -517,21 +519,76 @@ def roster_check(spark: SparkSession, d: str) -> DataFrame:
     return E.roster_difference(table(spark, d, "annotations"), table(spark, d, "annotation_packets").where("reviewer_role = 'recruiter'"), ["candidate_id", "criterion_id"])
 
 
-@query("packets_merged")
+_NEWEST = "SELECT candidate_id, criterion_id, reviewer_label, reference_label FROM (SELECT DISTINCT * FROM annotation_packets WHERE reviewer_role = '{0}') QUALIFY row_number() OVER (PARTITION BY candidate_id, criterion_id ORDER BY labelled_at DESC NULLS LAST, annotator DESC NULLS LAST, reviewer_label DESC NULLS LAST, reference_label DESC NULLS LAST) = 1"
+
+
+@query("packets_merged", f"""SELECT m.*, r.reviewer_label recruiter_label, r.reference_label recruiter_reference_label, h.reviewer_label hiring_manager_label, h.reference_label hiring_manager_reference_label
+FROM (SELECT DISTINCT candidate_id, criterion_id, model_result FROM annotations) m JOIN ({_NEWEST.format('recruiter')}) r USING (candidate_id, criterion_id) JOIN ({_NEWEST.format('hiring_manager')}) h USING (candidate_id, criterion_id)""")
 def packets_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Items that both roles labelled, each with the newest label of either."""
     p = table(spark, d, "annotation_packets").distinct()
-    keys = ["candidate_id", "criterion_id"]
+    keys, values = ["candidate_id", "criterion_id"], ["reviewer_label", "reference_label"]
     master = table(spark, d, "annotations").select(*keys, "model_result").distinct()
-    return E.merge_packets(master, p.where("reviewer_role = 'recruiter'"), p.where("reviewer_role = 'hiring_manager'"), keys)
+    one = lambda role: K.newest_labels(p.where(F.col("reviewer_role") == role), keys, values)
+    return K.merge_packets(master, one("recruiter"), one("hiring_manager"), keys)
+
+
+@query("form_violations", "SELECT candidate_id, criterion_id, unnest(v) field FROM (SELECT candidate_id, criterion_id, list_filter([" + ", ".join(f"CASE WHEN NOT coalesce(regexp_matches(trim({c}), '{f}'), false) THEN '{c}' END" for c, f in K.FORMS.items()) + "], lambda x: x IS NOT NULL) v FROM (SELECT DISTINCT * FROM annotations))")
+def form_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Annotation rows and the columns whose form they break."""
+    return K.form_violations(table(spark, d, "annotations").distinct()).select("candidate_id", "criterion_id", F.explode("violations").alias("field"))
+
+
+@query("agreement_report", f"""WITH {_ANN}, x AS (SELECT candidate_id, rl = hl same FROM ann WHERE rl {_IN} AND hl {_IN}), c AS (SELECT count(*) n, count(*) FILTER (same) e, count(DISTINCT candidate_id) FILTER (same) a, count(DISTINCT candidate_id) FILTER (NOT same) b FROM x)
+SELECT n "rows", NOT ((a BETWEEN 1 AND 4) OR (b BETWEEN 1 AND 4)) AND n > 0 reported, CASE WHEN NOT ((a BETWEEN 1 AND 4) OR (b BETWEEN 1 AND 4)) THEN e END exact, CASE WHEN NOT ((a BETWEEN 1 AND 4) OR (b BETWEEN 1 AND 4)) THEN round(e / n, 9) END rate FROM c""")
+def agreement_report(spark: SparkSession, d: str) -> DataFrame:
+    a = E.agreement_metrics(_annotations(spark, d), "rl", "hl", "candidate_id")
+    return a.select("rows", "reported", "exact", F.round("rate", 9).alias("rate"))
+
+
+@query("model_report", f"""WITH {_ANN}, x AS (SELECT candidate_id, al, ml FROM ann WHERE al {_IN} AND ml IS NOT NULL), p AS (SELECT count(DISTINCT candidate_id) FILTER (al = ml) a, count(DISTINCT candidate_id) FILTER (al <> ml) b, count(*) n, count(*) FILTER (al = ml) t FROM x)
+SELECT label, (SELECT count(*) FROM x WHERE al = label) support, round((SELECT CASE WHEN n > 0 AND a NOT BETWEEN 1 AND 4 AND b NOT BETWEEN 1 AND 4 THEN t / n END FROM p), 9) accuracy FROM (SELECT unnest(['supported', 'partial', 'no_evidence', 'needs_verification']) label) WHERE (SELECT count(DISTINCT candidate_id) FROM x WHERE al = label) >= 5""")
+def model_report(spark: SparkSession, d: str) -> DataFrame:
+    """Support of the reported labels, and the accuracy."""
+    m = E.model_report(_annotations(spark, d), "al", "ml", "candidate_id", _LABELS)
+    return m.where("reported").select("label", F.col("support").cast("bigint").alias("support"), F.round("accuracy", 9).alias("accuracy"))
+
 
+_OVER = [f"CASE WHEN regexp_matches(lower(coalesce(txt, '')), '(^|[^\\w]){w}([^\\w]|$)') THEN '{w}' END" for w in ("python", "docker", "kafka", "linux", "terraform", "jira")]
+_HELD = [f"CASE WHEN regexp_matches(lower(coalesce(profile_json, '')), '\"{w}\"') THEN '{w}' END" for w in ("python", "docker", "kafka", "linux", "terraform", "jira")]
 
-@query("skill_overlap", """WITH p AS (SELECT DISTINCT id, lower(coalesce(criterion, '')) c FROM evidence WHERE result = 'matched'), x AS (SELECT id, list_filter(['python', 'tax', 'cloud', 'team'], lambda s: contains(c, s)) p, list_filter(['python', 'cloud', 'site'], lambda s: contains(c, s)) e FROM p),
-s AS (SELECT sum(length(list_intersect(p, e))) tp, sum(length(p)) np, sum(length(e)) ne FROM x) SELECT CAST(tp AS DOUBLE) / nullif(np, 0) "precision", CAST(tp AS DOUBLE) / nullif(ne, 0) recall, CAST(2 * tp AS DOUBLE) / nullif(np + ne, 0) f1, CAST(tp AS BIGINT) tp, CAST(np AS BIGINT) np, CAST(ne AS BIGINT) ne FROM s""")
+
+@query("skill_overlap", f"""WITH s AS (SELECT candidate_id, string_agg(snippet, chr(10)) txt FROM (SELECT DISTINCT id, candidate_id, snippet FROM evidence) GROUP BY 1), c AS (SELECT DISTINCT id, profile_json FROM candidates),
+x AS (SELECT list_filter([{', '.join(_OVER)}], lambda v: v IS NOT NULL) p, list_filter([{', '.join(_HELD)}], lambda v: v IS NOT NULL) e FROM c LEFT JOIN s ON s.candidate_id = c.id),
+t AS (SELECT sum(length(list_intersect(p, e))) tp, sum(length(p)) np, sum(length(e)) ne FROM x) SELECT CAST(tp AS DOUBLE) / nullif(np, 0) "precision", CAST(tp AS DOUBLE) / nullif(ne, 0) recall, CAST(2 * tp AS DOUBLE) / nullif(np + ne, 0) f1, CAST(tp AS BIGINT) tp, CAST(np AS BIGINT) np, CAST(ne AS BIGINT) ne FROM t""")
 def skill_overlap(spark: SparkSession, d: str) -> DataFrame:
-    c = F.lower(F.coalesce("criterion", F.lit("")))
-    pick = lambda ws: F.array_compact(F.array(*[F.when(F.contains(c, F.lit(w)), F.lit(w)) for w in ws]))
-    rows = table(spark, d, "evidence").where("result = 'matched'").select("id", "criterion").distinct()
-    return E.overlap(rows.select(pick(["python", "tax", "cloud", "team"]).alias("p"), pick(["python", "cloud", "site"]).alias("e")), "p", "e")
+    """Skills that the snippets of a candidate name against those that the profile lists: micro precision, recall and F1."""
+    names = ("python", "docker", "kafka", "linux", "terraform", "jira")
+    e = table(spark, d, "evidence").select("id", "candidate_id", "snippet").distinct()
+    found = e.select(F.col("candidate_id").alias("id"), F.explode(T.skills(F.col("snippet"), names)).alias("s")).groupBy("id").agg(F.collect_set("s").alias("p"))  # at most the names
+    held = F.array_compact(F.array(*[F.when(F.contains(F.lower("profile_json"), F.lit(f'"{n}"')), F.lit(n)) for n in names]))
+    c = table(spark, d, "candidates").select("id", "profile_json").distinct().select("id", held.alias("e"))
+    return E.overlap(c.join(found, "id", "left"), "p", "e")
+
+
+@query("role_keys", "WITH j AS (SELECT DISTINCT id, trim(regexp_replace(lower(coalesce(title, '')), '[^\\p{L}\\p{N}_]+', ' ', 'g')) t, trim(regexp_replace(lower(coalesce(department, '')), '[^\\p{L}\\p{N}_]+', ' ', 'g')) d FROM jobs) SELECT id job_id, CASE "
+  + " ".join("WHEN " + " OR ".join(f"contains({'t' if r.title_only else chr(116) + ' || chr(32) || d'}, '{w}')" for w in r.words) + f" THEN '{r.key}'" for r in O.ROLES) + " ELSE 'general' END \"role\" FROM j")
+def role_keys(spark: SparkSession, d: str) -> DataFrame:
+    j = table(spark, d, "jobs").select("id", "title", "department").distinct()
+    return j.select(F.col("id").alias("job_id"), O.role_key(F.col("title"), F.col("department")).alias("role"))
+
+
+@query("most_common_skills", "WITH t AS (SELECT doc_id, lower(text) l FROM documents WHERE text IS NOT NULL), s AS (SELECT unnest([" + ", ".join(f"'{s}'" for s in SKILLS) + r"]) skill) SELECT skill, count(*) n, min(doc_id) first_seen FROM t, s WHERE regexp_matches(l, '(^|[^\w])' || regexp_replace(skill, '([.+#])', '\\\1', 'g') || '([^\w]|$)') GROUP BY 1 ORDER BY n DESC, first_seen LIMIT 10")
+def most_common_skills(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most named skills; equal numbers by the first document that names them."""
+    s = _texts(spark, d).select("doc_id", F.explode(T.skills(F.col("text"), SKILLS)).alias("skill"))
+    return s.groupBy("skill").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_seen")).orderBy(F.desc("n"), "first_seen").limit(10)
+
+
+@query("skills_by_source", "WITH t AS (SELECT source, lower(text) l FROM documents WHERE text IS NOT NULL), s AS (SELECT unnest([" + ", ".join(f"'{s}'" for s in SKILLS) + r"]) skill) SELECT source, skill, count(*) n FROM t, s WHERE regexp_matches(l, '(^|[^\w])' || regexp_replace(skill, '([.+#])', '\\\1', 'g') || '([^\w]|$)') GROUP BY ALL")
+def skills_by_source(spark: SparkSession, d: str) -> DataFrame:
+    s = spread(table(spark, d, "documents").select("source", "text")).select("source", F.explode(T.skills(F.col("text"), SKILLS)).alias("skill"))
+    return s.groupBy("source", "skill").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- audit and time
