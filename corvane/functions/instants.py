@@ -26,3 +26,12 @@ def key_text(value: Column) -> Column:
     """A key compared without regard to case and outer white space; blank gives null."""
     k = F.lower(F.regexp_replace(value.cast("string"), r"(?U)^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$", ""))
     return F.when(k != "", k)
+
+
+# The names of the months in Indonesian.
+MONTHS_ID = "Januari Februari Maret April Mei Juni Juli Agustus September Oktober November Desember".split()
+
+
+def long_date(at: Column, months: list[str] = MONTHS_ID) -> Column:
+    """A day as in ``3 Maret 2024``; null stays null."""
+    return F.concat(F.day(at).cast("string"), F.lit(" "), F.array(*[F.lit(m) for m in months])[F.month(at) - 1], F.lit(" "), F.year(at).cast("string"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.instants import instant
 from corvane.functions.text import normalize_role, valid_score
 
 
@@ -47,3 +48,35 @@ def nested_cards(cards: DataFrame, scores: DataFrame) -> DataFrame:
     s = scores.select("scorecard_id", F.struct("id", "criterion_id", "criterion_label", "score", "evidence_notes").alias("x")).distinct()
     per = s.groupBy("scorecard_id").agg(F.array_sort(F.collect_list("x")).alias("scores"))
     return cards.distinct().join(per, cards.id == per.scorecard_id, "left").drop("scorecard_id")
+
+
+def interview_profile(cards: DataFrame, scores: DataFrame) -> DataFrame:
+    """Per candidate: reviewers (newest last, once each), recommendations in order, scorecards, and the last label of every criterion."""
+    c = cards.select("id", "candidate_id", "reviewer", "overall_recommendation", instant(F.col("created_at")).alias("at")).distinct()
+    key = F.struct("at", "id", "reviewer", "overall_recommendation")
+    per = c.groupBy("candidate_id").agg(F.array_sort(F.collect_list(key)).alias("x"))  # the cards of one candidate
+    last = scores.select(F.col("scorecard_id").alias("id"), "criterion_id", "criterion_label").distinct().join(c, "id").groupBy("candidate_id", "criterion_id").agg(F.max_by("criterion_label", F.struct("at", "id")).alias("label"))
+    labels = last.groupBy("candidate_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("criterion_id", "label")))).alias("labels"))
+    people = F.array_distinct(F.transform("x", lambda r: r["reviewer"]))
+    advice = F.filter(F.transform("x", lambda r: r["overall_recommendation"]), lambda r: F.coalesce(r, F.lit("")) != "")
+    return per.join(labels, "candidate_id", "left").select("candidate_id", people.alias("reviewers"), advice.alias("recommendations"), F.size("x").alias("n_cards"), "labels")
+
+
+def record_scorecards(cards: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """New cards and scores checked together: the cards taken, their scores, audit rows for them, and what was refused (id, violations).
+
+    A card needs a candidate, a reviewer, a known role and at least one score, all of its scores whole from 1 to 5. A card is taken as a whole or not at all.
+    """
+    from corvane.sources.writers import audit_rows
+
+    checked = scores.select("*", valid_score(F.col("score")).alias("__v"))
+    per = checked.groupBy(F.col("scorecard_id").alias("id")).agg(F.count(F.lit(1)).alias("__n"), F.count("__v").alias("__good"))
+    c = cards.withColumn("role", normalize_role(F.col("role"))).join(per, "id", "left")
+    text = lambda x: F.trim(F.coalesce(F.col(x), F.lit(""))) != ""
+    rules = {"candidate": text("candidate_id"), "reviewer": text("reviewer"), "role": F.col("role").isin("recruiter", "hiring_manager"), "scores": F.col("__n") > 0, "values": F.coalesce(F.col("__n") == F.col("__good"), F.lit(True))}
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in rules.items()]))
+    judged = c.withColumn("violations", broken)
+    good = judged.where(F.size("violations") == 0).select(*cards.columns)
+    kept = checked.withColumn("score", F.col("__v")).drop("__v").join(good.select(F.col("id").alias("scorecard_id")), "scorecard_id", "left_semi").select(*scores.columns)
+    log = audit_rows(good, "interview_scorecard_recorded", F.col("reviewer"), F.struct(F.col("id").alias("scorecard_id"), "role"))
+    return good, kept, log, judged.where(F.size("violations") > 0).select("id", "violations")

@@ -432,6 +432,21 @@ def role_delta(spark: SparkSession, d: str) -> DataFrame:
     return S.role_delta(table(spark, d, "interview_scorecards"), table(spark, d, "interview_criterion_scores"))
 
 
+@query("nested_cards", "SELECT c.id, coalesce(n, 0) n, f first_criterion FROM (SELECT DISTINCT id FROM interview_scorecards) c LEFT JOIN (SELECT scorecard_id, count(*) n, first(criterion_id ORDER BY id) f FROM (SELECT DISTINCT id, scorecard_id, criterion_id FROM interview_criterion_scores) GROUP BY 1) s ON s.scorecard_id = c.id")
+def nested_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Every scorecard with its scores: their number and the first criterion."""
+    cards = S.nested_cards(table(spark, d, "interview_scorecards").distinct(), table(spark, d, "interview_criterion_scores"))
+    return cards.select("id", F.greatest(F.coalesce(F.size("scores"), F.lit(0)), F.lit(0)).cast("bigint").alias("n"), F.try_element_at("scores", F.lit(1))["criterion_id"].alias("first_criterion"))
+
+
+@query("interview_profile", f"""WITH c AS (SELECT DISTINCT id, candidate_id, reviewer, overall_recommendation r, {AT.format('created_at')} a FROM interview_scorecards)
+SELECT candidate_id, string_agg(r, ' | ' ORDER BY a ASC NULLS FIRST, id) FILTER (r <> '') recommendations, count(*) n_cards, count(DISTINCT reviewer) n_reviewers FROM c GROUP BY 1""")
+def interview_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Reviewers and recommendations of every interviewed candidate, in order."""
+    p = S.interview_profile(table(spark, d, "interview_scorecards"), table(spark, d, "interview_criterion_scores"))
+    return p.select("candidate_id", F.nullif(F.array_join("recommendations", " | "), F.lit("")).alias("recommendations"), F.col("n_cards").cast("bigint").alias("n_cards"), F.size(F.array_compact("reviewers")).cast("bigint").alias("n_reviewers"))
+
+
 # ---- annotations
 
 _CLEAN = "regexp_replace(lower(trim({0})), '[ _-]+', '_', 'g')"
