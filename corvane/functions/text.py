@@ -29,15 +29,20 @@ _LABEL = {
 _BIRTH = {"taxonomy": X.TAXONOMY_BIRTH, "live": X.LIVE_BIRTH}
 
 
+def collapse_blanks(text: Column) -> Column:
+    """White space as single blanks; text that has no other is not rewritten, as replacing costs far more than looking."""
+    return F.when(text.rlike(r"(?U)[^\S ]|  "), F.regexp_replace(text, r"(?U)\s+", " ")).otherwise(text)
+
+
 def normalize(text: Column) -> Column:
     """Lower case, plain dashes, single blanks, no outer blanks."""
-    return F.trim(F.regexp_replace(F.replace(F.translate(F.lower(text), "–—", "--"), F.lit("ß"), F.lit("ss")), r"(?U)\s+", " "))
+    return F.trim(collapse_blanks(F.replace(F.translate(F.lower(text), "–—", "--"), F.lit("ß"), F.lit("ss"))))
 
 
 def lines(text: Column) -> Column:
     """The lines of a text in order, blank ones left out, otherwise untrimmed; null gives an empty array."""
     parts = F.split(F.coalesce(text, F.lit("")), LINE_END)
-    return F.filter(parts, lambda x: F.regexp_replace(x, r"(?U)\s+", "") != "")
+    return F.filter(parts, lambda x: x.rlike(r"(?U)\S"))
 
 
 def redact_email(text: Column, token: str = "[email removed]") -> Column:
@@ -142,6 +147,11 @@ def any_pattern(terms: Sequence[str]) -> str:
     return "|".join(word_pattern(t) for t in terms)
 
 
+def holds(text: Column, term: str) -> Column:
+    """Whether ``term`` stands in normalised text as a whole word; its longest part is looked for first, which is cheap."""
+    return F.contains(text, F.lit(max(term.lower().split(), key=len))) & text.rlike(word_pattern(term))
+
+
 def _alternation(names: Sequence[str]) -> str:
     """A pattern without width whose group 1 is the longest of ``names`` that begins at a place, in lower text with any white space."""
     quoted = [word_pattern(n)[len(r"(?<!\w)") : -len(r"(?!\w)")].replace(" ", r"\s+").replace("-", "[-–—]") for n in sorted(names, key=len, reverse=True)]

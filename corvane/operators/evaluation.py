@@ -96,6 +96,9 @@ def _agreeing(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> int:
 
     A merge sort whose levels are array operations: sorted by x and y, every right half is looked up in its left one.
     """
+    if len(x) <= 48:
+        dx, dy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+        return int((dx * dy * n[:, None].astype(np.int64) * n).sum()) // 2
     order = np.lexsort((y, x))
     x, n = x[order], n[order].astype(np.int64)
     rank = np.unique(y[order], return_inverse=True)[1].astype(np.int64)
@@ -125,18 +128,40 @@ def kendall_tau_b(ranks: DataFrame, group: str, item: str, left: str, right: str
     cells = ranks.dropna(subset=[group, left, right]).groupBy(F.col(group).alias("g"), F.col(left).cast("bigint").alias("l"), F.col(right).cast("bigint").alias("r")).agg(F.count(F.lit(1)).alias("n"))
     lb, rb = F.floor(F.col("l") / bucket), F.floor(F.col("r") / bucket)
     none = F.lit(-1).cast("bigint")
-    view = lambda a, b, x, y: F.struct(a.alias("a"), b.alias("b"), x.alias("x"), y.alias("y"))
-    views = F.array(view(none, none, lb, rb), view(lb, none, F.col("l"), rb), view(none, rb, lb, F.col("r")), view(lb, rb, F.col("l"), F.col("r")))
-    points = cells.select("g", F.posexplode(views).alias("v", "p"), "n").groupBy("g", "v", "p.a", "p.b", "p.x", "p.y").agg(F.sum("n").alias("n"))
+    view = lambda on, a, b, x, y: F.when(on, F.struct(a.alias("a"), b.alias("b"), x.alias("x"), y.alias("y")))
+    wide = cells.groupBy("g").agg(F.max(lb).alias("ml"), F.max(rb).alias("mr"))
+    several_l, several_r = F.col("ml") > 0, F.col("mr") > 0  # in one bucket all pairs share it
+    views = F.array(view(several_l & several_r, none, none, lb, rb), view(several_r, lb, none, F.col("l"), rb), view(several_l, none, rb, lb, F.col("r")), view(F.lit(True), lb, rb, F.col("l"), F.col("r")))
+    points = cells.join(wide, "g").select("g", F.posexplode(views).alias("v", "p"), "n").where("p is not null").groupBy("g", "v", "p.a", "p.b", "p.x", "p.y").agg(F.sum("n").alias("n"))
     kind = cells.schema["g"].dataType.simpleString()
+    by = ["g", "v", "a", "b"]
+    ordered = points.repartition(*by).sortWithinPartitions(*by).select("g", F.xxhash64(*by).alias("h"), "x", "y", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(batches)
-        if t.num_rows:
-            d = _agreeing(*(t[c].to_numpy() for c in ("x", "y", "n")))
-            yield pa.RecordBatch.from_arrays([pa.array([t["g"][0].as_py()], t.schema.field("g").type), pa.array([d], pa.int64())], ["g", "d"])
-
-    diff = points.groupBy("g", "v", "a", "b").applyInArrow(run, f"g {kind}, d bigint").groupBy("g").agg(F.sum("d").alias("d"))
+        held: list[pa.RecordBatch] = []  # the group in hand, which is no larger than its buckets allow
+
+        def close(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            x, y, n, h = (t[c].to_numpy() for c in ("x", "y", "n", "h"))
+            cuts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+            d = [_agreeing(x[i:j], y[i:j], n[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([t["g"].combine_chunks().take(pa.array(cuts[:-1])), pa.array(d, pa.int64())], ["g", "d"])
+
+        for b in batches:
+            h = b.column(1).to_numpy()
+            changes = np.flatnonzero(h[1:] != h[:-1]) + 1
+            if held and len(h) and held[-1].column(1)[-1].as_py() != h[0]:
+                yield from close(pa.Table.from_batches(held))
+                held = []
+            last = int(changes[-1]) if len(changes) else 0
+            if last:
+                yield from close(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            if b.num_rows > last:
+                held.append(b.slice(last))
+        if held:
+            yield from close(pa.Table.from_batches(held))
+
+    diff = ordered.mapInArrow(run, f"g {kind}, d bigint").groupBy("g").agg(F.sum("d").alias("d"))
     n2 = lambda x: x * (x - 1) / 2
     tied = lambda c, name: cells.groupBy("g", c).agg(F.sum("n").alias("x")).groupBy("g").agg(F.sum(n2(F.col("x"))).alias(name))
     every = cells.groupBy("g").agg(F.sum("n").alias("n"))

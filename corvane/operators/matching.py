@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,7 +78,7 @@ def match_documents(docs: DataFrame, criteria: Sequence[Criterion], keep: Sequen
 def _match(docs: DataFrame, criteria: Sequence[Criterion], keep: Sequence[str], profile: str) -> DataFrame:
     longest = lambda term: F.lit(max(term.split(), key=len))
     terms = {c.id: c.terms(profile) for c in criteria}
-    every = docs.where(F.size("__lines") > 0).withColumn("__all", F.replace(F.translate(F.lower(F.array_join("__lines", "\n")), "–—", "--"), F.lit("ß"), F.lit("ss")))
+    every = docs.withColumn("__all", F.replace(F.translate(F.lower(F.array_join("__lines", "\n")), "–—", "--"), F.lit("ß"), F.lit("ss")))
 
     def possible(c: Criterion) -> Column:
         """Whether the words are there at all, in whatever line."""
@@ -88,35 +90,37 @@ def _match(docs: DataFrame, criteria: Sequence[Criterion], keep: Sequence[str],
             out = out | (sum((F.contains(F.col("__all"), F.lit(t)).cast("int") for t in c.tokens), F.lit(0)) >= c.enough)
         return out
 
-    flags = every.select(*keep, "__lines", F.array(*[possible(c) for c in criteria]).alias("__may"))
-    low = F.when(F.exists("__may", lambda x: x), F.transform("__lines", T.normalize)).otherwise(F.array().cast("array<string>"))
+    flags = every.select(*keep, "__lines", "__all", F.array(*[possible(c) for c in criteria]).alias("__may"))
+    # lower case and plain dashes were made of the whole text at once, which is cheaper than line by line
+    low = F.when(F.exists("__may", lambda x: x), F.transform(F.split("__all", "\n"), lambda x: F.trim(T.collapse_blanks(x)))).otherwise(F.array().cast("array<string>"))
     ready = flags.select(*keep, "__lines", "__may", low.alias("__low"))
     none = F.array(*[F.lit(0).cast("bigint")] * 3)
 
     def places(c: Criterion) -> Column:
         """Numbers (from 1, 0: none) of the first denied line (``live``), the first match and the first partial one."""
-        exact = T.any_pattern(sorted(terms[c.id], key=len, reverse=True))
         first = lambda test: F.array_position(F.transform("__low", test), F.lit(True))
-        some = lambda x, denied: x.rlike(exact) & F.exists(T.negated_mentions(x, terms[c.id]), lambda y: y if denied else ~y)
-        words = lambda x: sum((x.rlike(T.word_pattern(t)).cast("int") for t in c.tokens), F.lit(0)) >= c.enough
-        part = first(lambda x: ~x.rlike(exact) & words(x)) if len(c.tokens) > 1 else none[0]
+        holds = lambda x: reduce(or_, [T.holds(x, t) for t in terms[c.id]])
+        some = lambda x, denied: holds(x) & F.exists(T.negated_mentions(x, terms[c.id]), lambda y: y if denied else ~y)
+        words = lambda x: sum((T.holds(x, t).cast("int") for t in c.tokens), F.lit(0)) >= c.enough
+        part = first(lambda x: words(x) & ~holds(x)) if len(c.tokens) > 1 else none[0]
         if profile == "live":
             return F.array(first(lambda x: some(x, True)), first(lambda x: some(x, False)), part)
-        return F.array(none[0], first(lambda x: x.rlike(exact)), part)
+        return F.array(none[0], first(holds), part)
 
+    placed = ready.select(*keep, "__lines", *[F.when(F.col("__may")[k], places(c)).otherwise(none).alias(f"__at{k}") for k, c in enumerate(criteria)])
     rows = []
     for k, c in enumerate(criteria):
+        at = F.col(f"__at{k}")
+        grade = F.when(at[0] > 0, 0).when(at[1] > 0, 1).when(at[2] > 0, 2)
+        number = (F.get(at, grade) - 1).cast("int")
         focus = F.filter(F.array(*[F.lit(t) for t in dict.fromkeys((*terms[c.id], *c.tokens))]), lambda t: t != "")
         rows.append(F.struct(
             F.lit(c.id).alias("criterion_id"), F.lit(c.label).alias("criterion"), F.lit(c.type).alias("type"), F.lit(float(c.weight)).alias("weight"),
-            F.when(F.col("__may")[k], places(c)).otherwise(none).alias("at"), focus.alias("focus"),
+            grade.alias("g"), number.alias("line_no"), F.get("__lines", number).alias("line"), focus.alias("focus"),
         ))
-    each = ready.select(*keep, "__lines", F.explode(F.array(*rows)).alias("m")).select(*keep, "__lines", "m.*")
-    grade = F.when(F.col("at")[0] > 0, 0).when(F.col("at")[1] > 0, 1).when(F.col("at")[2] > 0, 2)
-    found = each.select(*keep, "criterion_id", "criterion", "type", "weight", "focus", grade.alias("g"), F.when(grade.isNotNull(), F.get("at", grade) - 1).alias("line_no"), "__lines")
-    found = found.select("*", F.get("__lines", F.col("line_no").cast("int")).alias("line"))
+    found = placed.select(*keep, F.explode(F.when(F.size("__lines") > 0, F.array(*rows))).alias("m")).select(*keep, "m.*")
     snippet = T.redact_for_evidence(F.col("line"), profile=profile, focus=F.col("focus") if profile == "live" else None)
-    found = found.select(*keep, "criterion_id", "criterion", "type", "weight", "g", F.col("line_no").cast("int").alias("line_no"), F.when(F.col("g").isNotNull(), snippet).otherwise("").alias("snippet"))
+    found = found.select(*keep, "criterion_id", "criterion", "type", "weight", "g", "line_no", F.when(F.col("g").isNotNull(), snippet).otherwise("").alias("snippet"))
     hidden = F.col("g").isNotNull() & (F.col("snippet") == "") if profile == "live" else F.lit(False)
     result = F.when((F.col("g") == 0) | hidden, "needs_verification").when(F.col("g") == 1, "matched").when(F.col("g") == 2, "partial").otherwise("unknown")
     out = found.select(*keep, "criterion_id", "criterion", "type", "weight", result.alias("result"), "line_no", "snippet")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import STOP_WORDS, normalize, split_sentences, tokenize
+from corvane.session import store
 
 K1, B = 1.5, 0.75
 # Words by which a question asks for required criteria, or for guides and rubrics.
@@ -130,15 +131,16 @@ def retrieve(chunks: DataFrame, queries: Sequence[Query], technical: Sequence[st
     question prefers, 1.8. Chunks of the same letters count once. The questions are a stated list; a question without tokens finds nothing.
     """
     asked = [q for q in queries if q.tokens]
-    terms = sorted({t for q in asked for t in q.tokens}) or [""]
+    terms = sorted({t for q in asked for t in q.tokens})
+    if not asked:
+        return chunks.sparkSession.createDataFrame([], "job_id string, query_id string, rank int, source_type string, label string, text string, score double, matched array<string>")
     prepared = chunks.select("*", tokenize(F.col("text"), STOP_WORDS).alias("tokens"), normalize(F.col("text")).alias("norm"), normalize(F.col("label")).alias("tag"))
+    prepared = store(prepared, "chunks")  # read twice: for the counts and for the scores
     stats = prepared.groupBy("job_id").agg(F.count(F.lit(1)).alias("chunks"), F.avg(F.size("tokens")).alias("mean"), *[F.count_if(F.array_contains("tokens", t)).alias(f"df{i}") for i, t in enumerate(terms)])
     table = F.map_from_arrays(F.array(*[F.lit(t) for t in terms]), F.array(*[F.col(f"df{i}") for i in range(len(terms))]))
     stats = stats.select("job_id", "chunks", F.greatest("mean", F.lit(1.0)).alias("mean"), table.alias("df"))
     tech = frozenset(technical)
-    rows = prepared.join(stats, "job_id").select("*", F.explode(F.array(*[_literal(q, tech) for q in asked]) if asked else F.array().cast("array<struct<query_id:string>>")).alias("q")) if asked else None
-    if rows is None:
-        return chunks.sparkSession.createDataFrame([], "job_id string, query_id string, rank int, source_type string, label string, text string, score double, matched array<string>")
+    rows = prepared.join(stats, "job_id").select("*", F.explode(F.array(*[_literal(q, tech) for q in asked])).alias("q"))
     rows = rows.select("job_id", "chunk_no", "source_type", "label", "text", "source_weight", "tokens", "norm", "tag", "chunks", "mean", "df", "q.*")
     tf = lambda t: F.size(F.filter("tokens", lambda x: x == t))
     count = lambda t: F.when(tf(t) > 0, tf(t)).when(F.contains(F.col("norm"), t), 1).otherwise(0)
