@@ -16,7 +16,7 @@ from corvane.llm.packing import fill_report, pack
 from corvane.llm.personal import accept, extract, find, learn, redacted
 from corvane.llm.splitting import split_oversized
 from corvane.llm.topn import top_n
-from corvane.session import cut, table
+from corvane.session import cut, spread, table
 
 CAPACITY = 2048  # tokens a container holds
 LIMIT, OVERLAP = 512, 64  # tokens of a piece, tokens shared with the one before
@@ -28,14 +28,14 @@ def _model(spark: SparkSession, d: str) -> Model:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     model = _model(spark, d)
-    docs = identify(table(spark, d, "documents").withColumn("tag", language_tag(F.col("lang"))), model, "text", ["doc_id", "tag"])
+    docs = identify(spread(table(spark, d, "documents")).withColumn("tag", language_tag(F.col("lang"))), model, "text", ["doc_id", "tag"])
     several = F.size("languages") > 1
     wrong = F.col("tag").isNull() | (F.col("tag") != F.get("languages", F.lit(0))["lang"])
     held = F.explode("languages").alias("x")
     cases = docs.where((F.size("languages") > 0) & (several | wrong)).select(F.lit("documents").alias("src_table"), F.col("doc_id").cast("string").alias("row_id"), held)
 
     # one pass over the snippets serves both the mixed ones and the language of each CV
-    snippets = cut(identify(table(spark, d, "evidence"), model, "snippet", ["id", "candidate_id"]))
+    snippets = cut(identify(spread(table(spark, d, "evidence").select("id", "candidate_id", "snippet")), model, "snippet", ["id", "candidate_id"]))
     mixed = snippets.where(several).select(F.lit("evidence").alias("src_table"), F.col("id").alias("row_id"), held)
     labels = _annotated(spark, d, snippets).where(F.col("lang").isNotNull() & (F.col("tag").isNull() | (F.col("tag") != F.col("lang"))))
     out = cases.unionByName(mixed).select("src_table", "row_id", F.col("x.lang").alias("lang"))
@@ -53,7 +53,7 @@ def _annotated(spark: SparkSession, d: str, snippets: DataFrame) -> DataFrame:
 
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its languages: one row per segment, with the document's language and confidence."""
-    return _segments(identify(table(spark, d, "documents"), _model(spark, d), "text", ["doc_id"], segments=True), "doc_id")
+    return _segments(identify(spread(table(spark, d, "documents")), _model(spark, d), "text", ["doc_id"], segments=True), "doc_id")
 
 
 def _segments(texts: DataFrame, ident: str) -> DataFrame:
@@ -71,7 +71,7 @@ def p1_snippets(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_annotations(spark: SparkSession, d: str) -> DataFrame:
     """Every annotation row with the language of its CV (of its candidate's snippets) and the confidence, both null where they hold none."""
-    snippets = identify(table(spark, d, "evidence"), _model(spark, d), "snippet", ["id", "candidate_id"])
+    snippets = identify(spread(table(spark, d, "evidence").select("id", "candidate_id", "snippet")), _model(spark, d), "snippet", ["id", "candidate_id"])
     return _annotated(spark, d, snippets).select("candidate_id", "criterion_id", "cv_language", "lang", "confidence")
 
 
@@ -113,12 +113,12 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return token_ids(table(spark, d, "documents"))
+    return token_ids(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return pack(token_counts(docs), CAPACITY, items=docs.count())
+    return pack(token_counts(spread(docs.select("doc_id", "text"))), CAPACITY, items=docs.count())
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +127,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split_oversized(table(spark, d, "documents"), LIMIT, OVERLAP)
+    return split_oversized(spread(table(spark, d, "documents").select("doc_id", "text")), LIMIT, OVERLAP)
 
 
 LABELS = ("supported", "partial", "no_evidence", "needs_verification")
