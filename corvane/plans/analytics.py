@@ -750,3 +750,6 @@ def idf_table(spark: SparkSession, d: str) -> DataFrame:
 SELECT query_id, id, chunk_no, CAST(n AS BIGINT) overlap, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC, id, chunk_no) AS INT) "rank" FROM (SELECT query_id, id, chunk_no, length(list_intersect(tokens, toks)) n FROM tok, q) WHERE n > 0 QUALIFY "rank" <= 5""")
 def overlap_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.overlap_rank(_described(spark, d), _questions(spark), ["id", "chunk_no"])
+
+
+ORACLES["tokens_per_document"] = f"SELECT doc_id, CAST(length({_tokens(_norm('text'))}) AS INT) n_tokens, CAST(coalesce(length({_sentences('text')}), 0) AS INT) n_sentences FROM documents"
